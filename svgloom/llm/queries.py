@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op3_bpe
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op3_bpe": op3_bpe,
     "op7_token_files": op7_token_files,
 }
 
