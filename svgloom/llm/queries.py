@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .langid import op4_language_id
 from .token_files import op7_token_files
 
 QUERIES = {
     "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
     "op7_token_files": op7_token_files,
 }
 
