@@ -39,7 +39,7 @@ PERCENTILE = 0.9
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
 #: Words that a worker remembers with their ids.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 1_000_000
 _MAGIC = b"PFORIDS1"
 _U64 = np.uint64
 
@@ -182,6 +182,16 @@ class WordEncoder:
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder: kept between tasks, so that a word is encoded once in a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -195,7 +205,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), struct.pack("<I", end_id)
+        encode, end = encoder(path), struct.pack("<I", end_id)
         fs, base = _open_folder(folder)
         part = TaskContext.get().partitionId()
         sink, offsets, name, total, n_docs = None, [], f"ids-{part:06d}-{uuid.uuid4().hex}", 0, 0
