@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .bpe import op3_bpe
 from .langid import op4_language_id
+from .line_dedup import OP10_SQL, op10_line_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op7_token_files": op7_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL of those that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_line_dedup": OP10_SQL,
+}
