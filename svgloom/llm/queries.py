@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .langid import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
+from .minhash import OP2_SQL, op2_minhash
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op7_token_files": op7_token_files,
@@ -16,5 +18,6 @@ QUERIES = {
 
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
+    "op2_minhash": OP2_SQL,
     "op10_line_dedup": OP10_SQL,
 }
