@@ -5,7 +5,9 @@ Each Python worker holds a DuckDB database with two tables made from the rank fi
 bytes). A batch's distinct unseen words become token-position rows; a recursive query
 joins neighbours with ``merges`` and contracts, in every word and round, the leftmost
 pair of minimum rank until no word has a pair. Decoding joins ids with ``vocab`` and
-concatenates their bytes in an ordered aggregation.
+concatenates their bytes in an ordered aggregation. A worker remembers words and
+pieces of text (a word with its punctuation) with their ids and the bytes that these
+decode to, up to a bound.
 
 Words longer than ``LONG_WORD`` bytes take the same contraction in a loop of SQL
 steps: all occurrences of a word's minimum pair at once where no merge that the result
@@ -31,8 +33,10 @@ from .common import decoded, narrow, sized, table, tokenizer_path
 
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
-#: Pieces of text (a word with its punctuation) that a worker remembers with their ids.
+#: Pieces of text that a worker remembers with their ids.
 REMEMBERED = 400_000
+#: Words that a worker remembers with their ids and bytes.
+REMEMBERED_WORDS = 800_000
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 50_000
 
@@ -51,9 +55,9 @@ WITH RECURSIVE s AS (
      FROM n JOIN best ON n.w = best.w
      WHERE n.pos <> best.gone)
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM (SELECT w, pos, tok, round, max(round) OVER (PARTITION BY w) AS last FROM s)
-WHERE round = last GROUP BY w ORDER BY w
+SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(raw, '' ORDER BY pos) AS raw
+FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocab ON vocab.id = tok
+GROUP BY w ORDER BY w
 """
 
 _STEP = """
@@ -78,6 +82,11 @@ FROM n LEFT JOIN taken t ON n.w = t.w AND n.pos = t.pos
 WHERE NOT EXISTS (SELECT 1 FROM taken g WHERE g.w = n.w AND g.np = n.pos)
 """
 
+_LONG_ENDED = """
+SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(raw, '' ORDER BY pos) AS raw
+FROM long_words JOIN vocab ON vocab.id = tok GROUP BY w ORDER BY w
+"""
+
 _DECODE = """
 SELECT k, string_agg(raw, '' ORDER BY pos) AS raw
 FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) c JOIN vocab USING (id)
@@ -115,21 +124,27 @@ class DuckBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, str] = {}  # piece of text after a space: its ids, as decimals with commas
-        self.decodings: dict[str, bytes] = {"": b""}  # such ids: their bytes
+        self.words: dict[str, tuple[str, bytes]] = {}  # word: its ids, as decimals with commas, and their bytes
+        self.pieces: dict[str, str] = {}  # piece of text that stands after a space, without the space: its ids
+        self.decodings: dict[str, bytes] = {}  # such ids: their bytes
 
     def _register(self, name: str, t: pa.Table) -> None:
         self.con.register(name, t)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word."""
-        out: list[list[int]] = [[] for _ in words]
+    def encode_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
+        """Ids of each word, as decimals with commas, and the bytes that these ids decode to."""
+        out: list[tuple[str, bytes]] = [("", b"")] * len(words)
+
+        def ended(at: list[int], query: str) -> None:
+            got = self.con.sql(query).to_arrow_table()
+            for i, ids, raw in zip(at, got.column("ids").to_pylist(), got.column("raw").to_pylist()):
+                out[i] = ids, raw.encode("latin-1")
+
         short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
         for a in range(0, len(short), WORDS_A_QUERY):
             part = short[a : a + WORDS_A_QUERY]
             self._register("init", self._rows([words[i] for i in part]))
-            for i, ids in zip(part, self.con.sql(_RECURSION).to_arrow_table().column("ids").to_pylist()):
-                out[i] = ids
+            ended(part, _RECURSION)
         long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
         if long:
             self._register("init", self._rows([words[i] for i in long]))
@@ -140,8 +155,7 @@ class DuckBpe:
                 self.con.execute("CREATE OR REPLACE TABLE long_words AS SELECT w, pos, tok FROM long_next")
                 if not more:
                     break
-            for i, ids in zip(long, self.con.sql("SELECT list(tok ORDER BY pos) AS ids FROM long_words GROUP BY w ORDER BY w").to_arrow_table().column("ids").to_pylist()):
-                out[i] = ids
+            ended(long, _LONG_ENDED)
         return out
 
     def _rows(self, words: list[bytes]) -> pa.Table:
@@ -161,43 +175,53 @@ class DuckBpe:
                 out[i] = raw.encode("latin-1")
         return out
 
-    def _cut(self, text: str) -> list[str]:
-        """Pieces of a text, each but the first with its leading space: the pattern never matches across a space before a solid character."""
-        parts = self.cut(text) if self.gap(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _learn(self, new: list[str], keys: list[str]) -> None:
+        """Encode and decode pieces of text and remember them under their keys."""
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words = {}
+        split = [self.split(p) for p in new]
+        words = list({w for ws in split for w in ws} - self.words.keys())
+        self.words.update(zip(words, self.encode_words([w.encode() for w in words])))
+        for key, ws in zip(keys, split):
+            got = [self.words[w] for w in ws]
+            ids = ",".join([x[0] for x in got])
+            self.pieces[key] = ids
+            self.decodings[ids] = b"".join([x[1] for x in got])
+        for w in words:
+            if len(w) > 200:
+                del self.words[w]
 
     def encode_texts(self, texts: list[str]) -> list[list[str]]:
-        """For each text the ids of its pieces, as decimals with commas; pieces without ids are left out."""
-        if len(self.pieces) > REMEMBERED:
-            self.forget()
-        known = self.pieces
-        cut = [self._cut(t) for t in texts]
-        new: set[str] = set()
-        for c in cut:
-            new.update([p for p in c if p not in known])
+        """For each text the ids of its pieces, as decimals with commas.
+
+        A piece begins with a space before a solid character: the pattern never matches
+        across the place before that space. What a text begins with, without a space, is
+        kept under a key that no piece has.
+        """
+        cut = [self.cut(t) if self.gap(t) else t.split(" ") for t in texts]
+        heads = ["  " + c.pop(0) for c in cut]
+        here = set().union(heads, *cut)
+        if len(self.pieces) > REMEMBERED:  # what occurs again and again stays
+            self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
+            kept = set(self.pieces.values())
+            self.decodings = {x: raw for x, raw in self.decodings.items() if x in kept}
+        new = list(here - self.pieces.keys())
         if new:
-            split = {p: self.split(p) for p in new}
-            words = list({w for ws in split.values() for w in ws})
-            ids = dict(zip(words, self.encode_words([w.encode() for w in words])))
-            for p, ws in split.items():
-                known[p] = ",".join([str(i) for w in ws for i in ids[w]])
-        out = [[x for p in c if (x := known[p])] for c in cut]
+            self._learn([p[2:] if p[:2] == "  " else " " + p for p in new], new)
+        find = self.pieces.__getitem__
+        out = [([x] if (x := find(h)) else []) + list(map(find, c)) for h, c in zip(heads, cut)]
         for p in new:
             if len(p) > 200:
-                del known[p]
+                del self.pieces[p]
         return out
 
     def decode_texts(self, coded: list[list[str]]) -> list[bytes]:
         """Bytes of each list of pieces of ids."""
-        known = self.decodings
-        new = list({p for c in coded for p in c if p not in known})
+        new = list(set().union(*coded) - self.decodings.keys())
         if new:
-            known.update(zip(new, self.decode_ids([list(map(int, p.split(","))) for p in new])))
-        out = [b"".join([known[p] for p in c]) for c in coded]
-        for p in new:
-            if len(p) > 1000:
-                del known[p]
-        return out
+            self.decodings.update(zip(new, self.decode_ids([list(map(int, p.split(","))) for p in new])))
+        find = self.decodings.__getitem__
+        return [b"".join(map(find, c)) for c in coded]
 
 
 _CODERS: dict[tuple[str, str], DuckBpe] = {}
