@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .decontaminate import op9_decontaminate
 from .langid import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP2_SQL, op2_minhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op7_token_files": op7_token_files,
+    "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
 
