@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op3_bpe
+from .cap_dedup import OP5_SQL, op5_cap_dedup
 from .decontaminate import op9_decontaminate
 from .langid import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
+    "op5_cap_dedup": op5_cap_dedup,
     "op7_token_files": op7_token_files,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
@@ -21,5 +23,6 @@ QUERIES = {
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
     "op2_minhash": OP2_SQL,
+    "op5_cap_dedup": OP5_SQL,
     "op10_line_dedup": OP10_SQL,
 }
