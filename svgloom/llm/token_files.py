@@ -20,6 +20,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,11 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
-#: Words that a worker remembers with their ids.
-REMEMBERED_WORDS = 1_000_000
+#: Words, and parts of words, that a worker remembers with their ids.
+REMEMBERED_WORDS = 500_000
+REMEMBERED_PARTS = 900_000
+#: Fixed value: stops that may end a word.
+_STOPS = ".,;:!?"
 _MAGIC = b"PFORIDS1"
 _U64 = np.uint64
 
@@ -152,8 +156,10 @@ class WordEncoder:
     """Ids of a text as little-endian uint32 bytes.
 
     The vocabulary drops white space and never merges across it, so a text's ids are
-    those of its words (cut at spaces and line feeds only) in a row. Each distinct word
-    goes through the library once; words and ids are remembered up to a bound.
+    those of its words (cut at spaces and line feeds only) in a row. Nor does it merge a
+    letter with the stop that ends a word, and it lower-cases: so words are taken
+    apart, and each distinct part goes through the library once. Words and
+    parts are remembered up to bounds.
     """
 
     def __init__(self, path: str) -> None:
@@ -162,23 +168,38 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def _apart(word: str) -> tuple[str, str]:
+        core = word.rstrip(_STOPS)
+        if not core or not core[-1].isalpha():
+            core = word
+        return (core.lower() if core.isascii() else core), word[len(core) :]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-        known = self.known
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new: set[str] = set()
-        for ws in cut:
-            new.update(w for w in ws if w not in known)
+        here = set().union(*cut)
+        if len(self.known) > REMEMBERED_WORDS:  # what occurs again and again stays
+            self.known = {w: self.known[w] for w in here if w in self.known}
+        new = list(here - self.known.keys())
         if new:
-            fresh = list(new)
-            for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in ws]) for ws in cut]
+            apart = [self._apart(w) for w in new]
+            if len(self.parts) > REMEMBERED_PARTS:
+                self.parts = {"": b""}
+            parts = self.parts
+            fresh = list({x for pair in apart for x in pair} - parts.keys())
+            for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+                parts[x] = array("I", e.ids).tobytes()
+            self.known.update(zip(new, [parts[a] + parts[b] for a, b in apart]))
+            for x in fresh:
+                if len(x) > 64:
+                    del parts[x]
+        find = self.known.__getitem__
+        out = [b"".join(map(find, ws)) for ws in cut]
         for w in new:
             if len(w) > 64:
-                del known[w]
+                del self.known[w]
         return out
 
 
