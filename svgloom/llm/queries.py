@@ -8,9 +8,11 @@ from .decontaminate import op9_decontaminate
 from .langid import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP2_SQL, op2_minhash
+from .suffix_dedup import op1_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_minhash": op2_minhash,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
