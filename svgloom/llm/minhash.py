@@ -10,11 +10,12 @@ threshold 0.8 a pair is missed with a probability under 1e-5.
 
 Lists are merged by their length. A short list (up to ``SHORT``) gives all its pairs. A long
 list gives the pairs of its first member only; once those are confirmed, a list whose
-members are in one component is skipped. In what remains members go on to lists
-of their second collision (coordinate pairs: a candidate has two), again short
-or first member against the others, round after round until no list has two components
-that were not compared. So each round is linear in the postings, a group of near copies
-costs about one comparison for each member, and no link between components is lost.
+members are in one component is skipped. In the others the members outside the largest
+component are compared with the rest, ``PIVOTS`` a round, until no list has two components
+that were not compared; a list with more than ``REFINED`` such members goes on as lists of
+pairs of coordinates (a candidate collides twice). So each round is linear in the
+postings, a group of near copies costs about one comparison for each member, and no
+link between components is lost.
 
 A pair is confirmed by 100 * intersection >= 80 * union over the full sets.
 
@@ -47,8 +48,10 @@ ROWS = 4
 MATCHES = 2
 #: Members of a list that is compared in full.
 SHORT = 8
-#: First members of a long list that one round compares with the others.
-PIVOTS = 4
+#: Members of a long list, those outside its largest component first, that one round compares with the others.
+PIVOTS = 16
+#: Members outside the largest component above which a list goes on as lists of pairs of coordinates.
+REFINED = 64
 #: Documents whose ids may be broadcast.
 MOST_BROADCAST = 20_000
 
@@ -208,44 +211,42 @@ def _links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     links = _compare(pairs.union(stars), classes, texts)
 
     # the long lists, without their first members, that still hold two components
-    left = members.where((F.col("size") > SHORT) & (F.col("cls") != F.col("pivot"))).select(F.col("j").alias("j1"), F.col("v").alias("v1"), "cls")
-    found = components(links)
-    left = _live(left, ["j1", "v1"], found)
-    if left is None:
-        return links
-    # a candidate collides twice: go on to lists of pairs of coordinates
-    second = classes.select("cls", F.posexplode("coords").alias("j2", "v2"))
-    left = left.select("j1", "v1", "cls").join(second, "cls").where("j1 <> j2")
     key = ["j1", "v1", "j2", "v2"]
-    left = left.select(F.least("j1", "j2").alias("j1"), F.when(F.col("j1") < F.col("j2"), F.col("v1")).otherwise(F.col("v2")).alias("v1"), F.greatest("j1", "j2").alias("j2"), F.when(F.col("j1") < F.col("j2"), F.col("v2")).otherwise(F.col("v1")).alias("v2"), "cls").distinct()
+    left = members.where((F.col("size") > SHORT) & (F.col("cls") != F.col("pivot"))).select(F.col("j").alias("j1"), F.col("v").alias("v1"), F.lit(-1).alias("j2"), F.lit(0).cast("long").alias("v2"), "cls")
+    coords = classes.select("cls", F.posexplode("coords").alias("jx", "vx"))
     while True:
-        left = _live(left, key, found)
-        if left is None:
-            return links
-        counts = left.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_set(F.when(F.col("turn") <= PIVOTS, F.struct("cls", "comp")))).alias("first"))
-        now = left.join(counts, key)
-        whole = now.where(F.col("size") <= SHORT)
-        x, y = (whole.select(*key, F.col("cls").alias(c), F.col("comp").alias(f"comp_{c}")) for c in "ab")
-        pairs = x.join(y, key).where("a < b and comp_a <> comp_b").select("a", "b")
-        long = now.where(F.col("size") > SHORT)
-        stars = long.select("cls", "comp", F.explode("first").alias("p")).where("p.comp <> comp").select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b"))
-        more = _compare(pairs.union(stars), classes, texts)
-        links = materialize(links.union(more).distinct(), "links")
         found = components(links)
-        left = materialize(long.where(F.col("turn") > PIVOTS).select(*key, "cls"), "left")
+        live = _live(left, key, found)
+        if live is None:
+            return links
+        refined = (F.col("j2") < 0) & (F.col("others") > REFINED)
+        now = live.where(~refined)
+        first = now.where(F.col("turn") <= PIVOTS).select(*key, F.col("cls").alias("p"), F.col("comp").alias("comp_p"))
+        pairs = now.join(first, key).where("comp <> comp_p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
+        links = materialize(links.union(_compare(pairs, classes, texts)).distinct(), "links")
+        # a candidate collides twice: a list with many components goes on as lists of pairs of coordinates
+        second = live.where(refined).select("j1", "v1", "cls").join(coords, "cls").where("j1 <> jx")
+        low = F.col("j1") < F.col("jx")
+        second = second.select(F.least("j1", "jx").alias("j1"), F.when(low, F.col("v1")).otherwise(F.col("vx")).alias("v1"), F.greatest("j1", "jx").alias("j2"), F.when(low, F.col("vx")).otherwise(F.col("v1")).alias("v2"), "cls").distinct()
+        left = now.where(F.col("turn") > PIVOTS).select(*key, "cls").union(second)
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     candidates = materialize(_agree(pairs.distinct(), classes), "candidates")
-    few = 2 * candidates.count() <= MOST_BROADCAST
+    n = candidates.count()
+    if not n:
+        return candidates
+    few = 2 * n <= MOST_BROADCAST
     return materialize(_confirm(candidates, texts, few), "links")
 
 
 def _live(lists: DataFrame, key: list[str], found: DataFrame) -> DataFrame | None:
-    """Members of the lists that hold two components or more, with component and turn within the list; None if there are none."""
+    """Members of the lists that hold two components or more, with component, members outside the largest one, and a turn that puts those first; None if there are none."""
     placed = lists.join(found.withColumnRenamed("node", "cls").withColumnRenamed("component", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = placed.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select(*key)
-    live = materialize(placed.join(mixed, key).withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("cls"))), "live")
+    held = placed.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
+    mixed = held.where(F.col("all") > F.col("top.k")).select(*key, F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.k")).alias("others"))
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("comp") == F.col("largest"), "comp", "cls"))
+    live = materialize(placed.join(mixed, key).withColumn("turn", turn).drop("largest"), "live")
     return None if live.isEmpty() else live
 
 
