@@ -34,9 +34,9 @@ from .common import decoded, narrow, sized, table, tokenizer_path
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
 #: Pieces of text that a worker remembers with their ids.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 #: Words that a worker remembers with their ids and bytes.
-REMEMBERED_WORDS = 800_000
+REMEMBERED_WORDS = 1_300_000
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 50_000
 
@@ -46,7 +46,7 @@ WITH RECURSIVE s AS (
   UNION ALL
     (WITH n AS MATERIALIZED (
         SELECT x.w, x.pos, x.tok, x.round, x.np, (m.made::BIGINT << 24) | x.pos AS key
-        FROM (SELECT w, pos, tok, round, lead(tok) OVER o AS r, lead(pos) OVER o AS np FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)) x
+        FROM (SELECT w, pos, tok, round, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS r, lead(pos) OVER o AS np FROM s WINDOW o AS (ORDER BY (w::BIGINT << 24) | pos)) x
         LEFT JOIN merges m ON m.pair = ((x.tok::BIGINT << 32) | x.r)
      ), best AS (
         SELECT w, min(key) AS key, arg_min(np, key) AS gone FROM n WHERE key IS NOT NULL GROUP BY w
@@ -124,9 +124,8 @@ class DuckBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, tuple[str, bytes]] = {}  # word: its ids, as decimals with commas, and their bytes
-        self.pieces: dict[str, str] = {}  # piece of text that stands after a space, without the space: its ids
-        self.decodings: dict[str, bytes] = {}  # such ids: their bytes
+        self.words: dict[str, tuple[str, bytes]] = {}  # word: its ids, as decimals with commas, and the bytes that they decode to
+        self.pieces: dict[str, tuple[str, bytes]] = {}  # the same of a piece of text that stands after a space (without that space)
 
     def _register(self, name: str, t: pa.Table) -> None:
         self.con.register(name, t)
@@ -183,46 +182,42 @@ class DuckBpe:
         words = list({w for ws in split for w in ws} - self.words.keys())
         self.words.update(zip(words, self.encode_words([w.encode() for w in words])))
         for key, ws in zip(keys, split):
-            got = [self.words[w] for w in ws]
-            ids = ",".join([x[0] for x in got])
-            self.pieces[key] = ids
-            self.decodings[ids] = b"".join([x[1] for x in got])
+            if len(ws) == 1:
+                self.pieces[key] = self.words[ws[0]]
+            else:
+                got = [self.words[w] for w in ws]
+                self.pieces[key] = ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
         for w in words:
             if len(w) > 200:
                 del self.words[w]
 
-    def encode_texts(self, texts: list[str]) -> list[list[str]]:
-        """For each text the ids of its pieces, as decimals with commas.
+    def trip(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its ids, as decimals with commas, and the bytes that these ids decode to.
 
         A piece begins with a space before a solid character: the pattern never matches
         across the place before that space. What a text begins with, without a space, is
         kept under a key that no piece has.
         """
         cut = [self.cut(t) if self.gap(t) else t.split(" ") for t in texts]
-        heads = ["  " + c.pop(0) for c in cut]
-        here = set().union(heads, *cut)
+        for c in cut:
+            c[0] = "  " + c[0]
+        here = set().union(*cut)
         if len(self.pieces) > REMEMBERED:  # what occurs again and again stays
             self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
-            kept = set(self.pieces.values())
-            self.decodings = {x: raw for x, raw in self.decodings.items() if x in kept}
         new = list(here - self.pieces.keys())
         if new:
             self._learn([p[2:] if p[:2] == "  " else " " + p for p in new], new)
-        find = self.pieces.__getitem__
-        out = [([x] if (x := find(h)) else []) + list(map(find, c)) for h, c in zip(heads, cut)]
+        find, out = self.pieces.__getitem__, []
+        for c in cut:
+            got = list(map(find, c))
+            if not got[0][0]:
+                got.pop(0)
+            out.append((",".join([x[0] for x in got]), b"".join([x[1] for x in got])))
         for p in new:
             if len(p) > 200:
                 del self.pieces[p]
         return out
 
-    def decode_texts(self, coded: list[list[str]]) -> list[bytes]:
-        """Bytes of each list of pieces of ids."""
-        new = list(set().union(*coded) - self.decodings.keys())
-        if new:
-            self.decodings.update(zip(new, self.decode_ids([list(map(int, p.split(","))) for p in new])))
-        find = self.decodings.__getitem__
-        return [b"".join(map(find, c)) for c in coded]
-
 
 _CODERS: dict[tuple[str, str], DuckBpe] = {}
 
@@ -250,8 +245,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         bpe = coder(path, pattern)
         for batch in batches:
             for a, b in sized(batch.column(1)):
-                coded = bpe.encode_texts(decoded(batch.column(1).slice(a, b - a)))
-                ids = [list(map(int, ",".join(c).split(","))) if c else [] for c in coded]
+                coded = bpe.trip(decoded(batch.column(1).slice(a, b - a)))
+                ids = [list(map(int, c.split(","))) if c else [] for c, _ in coded]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return narrow(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -278,15 +273,14 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, pattern:
         bpe = coder(path, pattern)
         for batch in batches:
             for a, b in sized(batch.column(1)):
-                coded = bpe.encode_texts(decoded(batch.column(1).slice(a, b - a)))
-                texts = bpe.decode_texts(coded)
-                joined = [",".join(c).encode() for c in coded]
+                coded = bpe.trip(decoded(batch.column(1).slice(a, b - a)))
+                joined = [c.encode() for c, _ in coded]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array([j.count(b",") + 1 if j else 0 for j in joined], pa.int64()),
                         pa.array([hashlib.sha256(j).hexdigest() for j in joined]),
-                        pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+                        pa.array([hashlib.sha256(t).hexdigest() for _, t in coded]),
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
