@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op3_bpe
 from .cap_dedup import OP5_SQL, op5_cap_dedup
 from .decontaminate import op9_decontaminate
+from .html_text import op8_html_text
 from .langid import op4_language_id
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP2_SQL, op2_minhash
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_cap_dedup": op5_cap_dedup,
     "op7_token_files": op7_token_files,
+    "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
     "op10_line_dedup": op10_line_dedup,
 }
