@@ -7,6 +7,7 @@ from .cap_dedup import OP5_SQL, op5_cap_dedup
 from .decontaminate import op9_decontaminate
 from .html_text import op8_html_text
 from .langid import op4_language_id
+from .license_scan import op6_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP2_SQL, op2_minhash
 from .suffix_dedup import op1_suffix_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_cap_dedup": op5_cap_dedup,
+    "op6_license_scan": op6_license_scan,
     "op7_token_files": op7_token_files,
     "op8_html_text": op8_html_text,
     "op9_decontaminate": op9_decontaminate,
