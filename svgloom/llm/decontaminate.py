@@ -149,7 +149,11 @@ class Items:
                 last = int(found[k, 2])
                 k += 1
             a, b = max(int(rows[r]), first - allowed), min(int(rows[r + 1]), last + len(want) + allowed)
-            edits, x, y = nearest(want, h[a:b])
+            near = h[a:b]
+            # each edit takes away one word of the item at most
+            if (want[:, None] == near[None, :]).any(axis=1).sum() < len(want) - allowed:
+                continue
+            edits, x, y = nearest(want, near)
             if edits <= allowed:
                 hit = (i, edits, int(starts[a + x] - offs[r]), int(ends[a + max(y, x + 1) - 1] - offs[r]))
                 same = next((n for n, z in enumerate(out[r]) if z[0] == i), None)
@@ -205,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = pickle.loads(sent.value)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
-                for a, _, data, offs in pieces(batch, most=1 << 20):
+                for a, _, data, offs in pieces(batch, most=1 << 18):
                     rows = [(ids[a + k], items.ids[i], e, x, y) for k, hits in enumerate(items.leaks(data, offs)) for i, e, x, y in hits]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "edits", "first_byte", "end_byte"])
 
@@ -225,7 +229,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             items = pickle.loads(sent.value)
             for batch in batches:
-                for a, b, data, offs in pieces(batch, most=1 << 20):
+                for a, b, data, offs in pieces(batch, most=1 << 18):
                     clean = pa.array([not x for x in items.leaks(data, offs)], pa.bool_())
                     yield batch.slice(a, b - a).filter(clean)
 
