@@ -265,8 +265,8 @@ def decode(coded: DataFrame, vocabulary: str | None = None, pattern: str | None
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Encode every document, decode its ids, and return counts and digests of both: the whole trip within one task, so that no ids are moved."""
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """Encode every document, decode its ids, and return counts and digests of both, with the ids if asked for: the whole trip within one task, so that no ids are moved."""
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,18 +275,21 @@ def round_trip_digests(docs: DataFrame, vocabulary: str | None = None, pattern:
             for a, b in sized(batch.column(1)):
                 coded = bpe.trip(decoded(batch.column(1).slice(a, b - a)))
                 joined = [c.encode() for c, _ in coded]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array([j.count(b",") + 1 if j else 0 for j in joined], pa.int64()),
-                        pa.array([hashlib.sha256(j).hexdigest() for j in joined]),
-                        pa.array([hashlib.sha256(t).hexdigest() for _, t in coded]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
-
-    return narrow(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = {
+                    "doc_id": batch.column(0).slice(a, b - a),
+                    "n_tokens": pa.array([j.count(b",") + 1 if j else 0 for j in joined], pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(j).hexdigest() for j in joined]),
+                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for _, t in coded]),
+                }
+                if with_ids:
+                    ids = [np.fromstring(c, np.int32, sep=",") if c else np.zeros(0, np.int32) for c, _ in coded]
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return narrow(docs).mapInArrow(run, schema)
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:
-    return round_trip_digests(table(spark, sf_dir, "documents"))
+    return round_trip(table(spark, sf_dir, "documents"))

@@ -1,6 +1,6 @@
 """Near-duplicates by an inverted join on MinHash signature coordinates, confirmed on full shingle sets.
 
-A document's set: the distinct shingles of four words of its lower-cased text. Documents
+A document's set: the distinct shingles of four words (or another number) of its lower-cased text. Documents
 with equal sets form a class, which its smallest doc_id stands for; only classes are
 compared. A signature has ``COORDINATES`` coordinates, each the hash of ``ROWS`` MinHash
 values, so that two sets of Jaccard similarity s agree in a coordinate with
@@ -114,13 +114,13 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
 _SET_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, coords array<long>"
 
 
-def signed(docs: DataFrame) -> DataFrame:
+def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, the set's identity and its coordinates (null if it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offs in pieces(batch):
-                sets = shingle_sets(data, offs)
+                sets = shingle_sets(data, offs, size)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 coords, ident, _ = signatures([sets[i] for i in full])
                 at = np.full(b - a, -1)
@@ -143,7 +143,7 @@ def signed(docs: DataFrame) -> DataFrame:
     return narrow(docs).mapInArrow(run, _SET_SCHEMA)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, few: bool, size: int) -> DataFrame:
     """Pairs (a, b) of class ids whose full sets meet the threshold; the texts of both are joined to the pair."""
     texts = docs.where(F.col("doc_id").isNotNull())
     if few:  # so few ids that they may go to every task; the texts then need no shuffle by id
@@ -159,11 +159,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
             a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             keep = np.zeros(len(a), bool)
             for i, j, data, offs in pieces(batch, "text_b"):
-                others = shingle_sets(data, offs)
+                others = shingle_sets(data, offs, size)
                 for k in range(i, j):
                     if last[0] != a[k]:
                         raw = (batch.column(2)[k].as_py() or "").encode()
-                        last = (a[k], shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0])
+                        last = (a[k], shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), size)[0])
                     x, y = last[1], others[k - i]
                     common = len(np.intersect1d(x, y, assume_unique=True))
                     keep[k] = common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
@@ -182,15 +182,15 @@ def _agree(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(sized & (same >= MATCHES)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every document."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every document, by shingles of ``size`` words."""
     texts = narrow(docs)
-    base = materialize(signed(docs), "signed")
+    base = materialize(signed(docs, size), "signed")
     full = base.where("n_shingles > 0 and doc_id is not null")
     one = full.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2", "coords")).alias("x")).select("doc_id", "x.*")
     classes = one.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "coords")).alias("x")).select(F.col("x.doc_id").alias("cls"), F.col("n_shingles").alias("n"), "s1", "s2", F.col("x.coords").alias("coords"))
     classes = materialize(classes, "classes")
-    links = _links(classes, texts)
+    links = _links(classes, texts, size)
     found = components(links)
     of_set = classes.join(found, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
     ids = one.select("doc_id", "s1", "s2", "n_shingles").join(of_set, ["s1", "s2", "n_shingles"]).select("doc_id", F.col("n_shingles").alias("set_size"), "component_id")
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.coalesce("set_size", "n_shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Confirmed links, enough of them for all components."""
     posted = classes.select("cls", F.posexplode("coords").alias("j", "v"))
     lists = posted.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")).where("size > 1")
@@ -208,7 +208,7 @@ def _links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     x, y = short.select("j", "v", F.col("cls").alias("a")), short.select("j", "v", F.col("cls").alias("b"))
     pairs = x.join(y, ["j", "v"]).where("a < b").select("a", "b")
     stars = members.where((F.col("size") > SHORT) & (F.col("cls") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
-    links = _compare(pairs.union(stars), classes, texts)
+    links = _compare(pairs.union(stars), classes, texts, size)
 
     # the long lists, without their first members, that still hold two components
     key = ["j1", "v1", "j2", "v2"]
@@ -223,7 +223,7 @@ def _links(classes: DataFrame, texts: DataFrame) -> DataFrame:
         now = live.where(~refined)
         first = now.where(F.col("turn") <= PIVOTS).select(*key, F.col("cls").alias("p"), F.col("comp").alias("comp_p"))
         pairs = now.join(first, key).where("comp <> comp_p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-        links = materialize(links.union(_compare(pairs, classes, texts)).distinct(), "links")
+        links = materialize(links.union(_compare(pairs, classes, texts, size)).distinct(), "links")
         # a candidate collides twice: a list with many components goes on as lists of pairs of coordinates
         second = live.where(refined).select("j1", "v1", "cls").join(coords, "cls").where("j1 <> jx")
         low = F.col("j1") < F.col("jx")
@@ -231,13 +231,13 @@ def _links(classes: DataFrame, texts: DataFrame) -> DataFrame:
         left = now.where(F.col("turn") > PIVOTS).select(*key, "cls").union(second)
 
 
-def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     candidates = materialize(_agree(pairs.distinct(), classes), "candidates")
     n = candidates.count()
     if not n:
         return candidates
     few = 2 * n <= MOST_BROADCAST
-    return materialize(_confirm(candidates, texts, few), "links")
+    return materialize(_confirm(candidates, texts, few, size), "links")
 
 
 def _live(lists: DataFrame, key: list[str], found: DataFrame) -> DataFrame | None:

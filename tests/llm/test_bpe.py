@@ -35,8 +35,9 @@ def test_tables(spark, library):
     assert sorted((r.doc_id is not None, r.doc_id or 0, list(r.ids)) for r in got.collect()) == sorted((i is not None, i or 0, library.encode_ordinary(t or "")) for i, t, _ in rows)
     back = {r.doc_id: bytes(r.text).decode() for r in bpe.decode(got).collect()}
     assert back == {i: t or "" for i, t, _ in rows}
-    for r in bpe.round_trip_digests(docs).collect():
+    for r in bpe.round_trip(docs, with_ids=True).collect():
         text = next(t or "" for i, t, _ in rows if i == r.doc_id)
         ids = library.encode_ordinary(text)
+        assert list(r.ids) == ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-    assert bpe.round_trip_digests(docs.limit(0)).count() == 0
+    assert bpe.round_trip(docs.limit(0)).count() == 0
