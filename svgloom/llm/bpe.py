@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import decoded, narrow, sized, table, tokenizer_path
+from .common import among, byte_randoms, distinct_spans, narrow, pieces, table, tokenizer_path, words
 
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
@@ -40,6 +40,13 @@ REMEMBERED_WORDS = 1_300_000
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 50_000
 
+_SPACE = among(0x20)
+_RANDOMS = byte_randoms(31)
+# ASCII white space, and first and second bytes of all other white space in UTF-8.
+_WHITE = among(*range(0x09, 0x0E), 0x20)
+_MAYBE_WHITE = among(0xC2, 0xE1, 0xE2, 0xE3)
+_MAYBE_SECOND = among(0x80, 0x81, 0x85, 0x9A, 0xA0)
+
 _RECURSION = """
 WITH RECURSIVE s AS (
     SELECT w, pos, tok, 0 AS round FROM init
@@ -109,7 +116,6 @@ class DuckBpe:
 
         ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
-        self.gap = regex.compile(r" \s| \Z").search
         self.cut = regex.compile(r" (?=\S)").split
         self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": "false"})
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
@@ -125,7 +131,7 @@ class DuckBpe:
 
     def forget(self) -> None:
         self.words: dict[str, tuple[str, bytes]] = {}  # word: its ids, as decimals with commas, and the bytes that they decode to
-        self.pieces: dict[str, tuple[str, bytes]] = {}  # the same of a piece of text that stands after a space (without that space)
+        self.pieces: dict[bytes, tuple[str, bytes]] = {}  # the same of a piece of text, mostly a space with what follows it
 
     def _register(self, name: str, t: pa.Table) -> None:
         self.con.register(name, t)
@@ -174,7 +180,7 @@ class DuckBpe:
                 out[i] = raw.encode("latin-1")
         return out
 
-    def _learn(self, new: list[str], keys: list[str]) -> None:
+    def _learn(self, new: list[str], keys: list[bytes]) -> None:
         """Encode and decode pieces of text and remember them under their keys."""
         if len(self.words) > REMEMBERED_WORDS:
             self.words = {}
@@ -191,31 +197,54 @@ class DuckBpe:
             if len(w) > 200:
                 del self.words[w]
 
-    def trip(self, texts: list[str]) -> list[tuple[str, bytes]]:
-        """For each text its ids, as decimals with commas, and the bytes that these ids decode to.
-
-        A piece begins with a space before a solid character: the pattern never matches
-        across the place before that space. What a text begins with, without a space, is
-        kept under a key that no piece has.
-        """
-        cut = [self.cut(t) if self.gap(t) else t.split(" ") for t in texts]
-        for c in cut:
-            c[0] = "  " + c[0]
-        here = set().union(*cut)
-        if len(self.pieces) > REMEMBERED:  # what occurs again and again stays
-            self.pieces = {p: self.pieces[p] for p in here if p in self.pieces}
-        new = list(here - self.pieces.keys())
+    def _find(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
+        """Ids and decoded bytes of distinct pieces of text."""
+        known = self.pieces
+        if len(known) > REMEMBERED:  # what occurs again and again stays
+            known = self.pieces = {p: known[p] for p in pieces if p in known}
+        new = [p for p in pieces if p not in known]
         if new:
-            self._learn([p[2:] if p[:2] == "  " else " " + p for p in new], new)
-        find, out = self.pieces.__getitem__, []
-        for c in cut:
-            got = list(map(find, c))
-            if not got[0][0]:
-                got.pop(0)
-            out.append((",".join([x[0] for x in got]), b"".join([x[1] for x in got])))
+            self._learn([p.decode("utf-8", "replace") for p in new], new)
+        out = list(map(known.__getitem__, pieces))
         for p in new:
             if len(p) > 200:
-                del self.pieces[p]
+                del known[p]
+        return out
+
+    def trip(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[str, bytes]]:
+        """For each text (UTF-8 bytes and offsets) its ids, as decimals with commas, and the bytes that these ids decode to.
+
+        A piece begins with a space before a solid character: the pattern never matches
+        across the place before that space. Texts in which a space precedes white space or ends
+        the text are cut by a regular expression, all others at their spaces.
+        """
+        starts, ends, rows = words(data, offs, _SPACE)
+        head = np.zeros(len(data) + 1, bool)
+        head[offs] = True
+        codes, distinct = distinct_spans(data, starts - ~head[starts], ends, _RANDOMS)
+        got = self._find(distinct)
+        ids, raw = [x[0] for x in got], [x[1] for x in got]
+        find_ids, find_raw = ids.__getitem__, raw.__getitem__
+        # spaces before white space, byte by byte; before what may begin other white space, too
+        after = np.append(data[1:], 32)
+        odd = (data == 32) & (_WHITE[after] | head[1:])
+        more = np.flatnonzero((data == 32) & _MAYBE_WHITE[after] & ~odd)
+        third = np.append(data, (0, 0))[more + 2]
+        odd[more[_MAYBE_SECOND[third]]] = True
+        odd_rows = set((np.searchsorted(offs, np.flatnonzero(odd), "right") - 1).tolist())
+        out, listed, rows = [], codes.tolist(), rows.tolist()
+        for r, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+            if r in odd_rows:
+                text = data[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace")
+                first, *rest = self.cut(text)
+                parts = [p for p in (first.encode(), *[b" " + p.encode() for p in rest]) if p]
+                mine = list(set(parts))
+                place = dict(zip(mine, self._find(mine)))
+                found = [place[p] for p in parts]
+                out.append((",".join([x[0] for x in found]), b"".join([x[1] for x in found])))
+            else:
+                c = listed[a:b]
+                out.append((",".join(map(find_ids, c)), b"".join(map(find_raw, c))))
         return out
 
 
@@ -244,8 +273,8 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            for a, b in sized(batch.column(1)):
-                coded = bpe.trip(decoded(batch.column(1).slice(a, b - a)))
+            for a, b, data, offs in pieces(batch):
+                coded = bpe.trip(data, offs)
                 ids = [list(map(int, c.split(","))) if c else [] for c, _ in coded]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -272,8 +301,8 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            for a, b in sized(batch.column(1)):
-                coded = bpe.trip(decoded(batch.column(1).slice(a, b - a)))
+            for a, b, data, offs in pieces(batch):
+                coded = bpe.trip(data, offs)
                 joined = [c.encode() for c, _ in coded]
                 columns = {
                     "doc_id": batch.column(0).slice(a, b - a),

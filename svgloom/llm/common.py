@@ -104,9 +104,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, randoms:
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of each text, and the index of the first word of each row (one more than rows)."""
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -118,6 +118,24 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def among(*values: int) -> np.ndarray:
+    """A table of 256 flags that are set for these bytes."""
+    out = np.zeros(256, bool)
+    out[list(values)] = True
+    return out
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, randoms: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each byte span, equal for equal bytes, and the bytes of each number."""
+    import pandas as pd
+
+    codes, found = pd.factorize(span_hashes(data, starts, ends, randoms))
+    first = np.empty(len(found), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    raw = data.tobytes()
+    return codes, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+
+
 def lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, all other bytes as they are."""
     return _LOWER[data]

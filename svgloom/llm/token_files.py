@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from svgloom.session import new_folder
 
-from .common import decoded, narrow, sized, tokenizer_path
+from .common import among, byte_randoms, distinct_spans, narrow, pieces, tokenizer_path, words
 
 BLOCK = 128
 #: Share of a block's differences that the packed width must cover.
@@ -44,6 +44,9 @@ REMEMBERED_WORDS = 500_000
 REMEMBERED_PARTS = 900_000
 #: Fixed value: stops that may end a word.
 _STOPS = ".,;:!?"
+#: Fixed value: the white space that words are cut at.
+_CUTS = among(0x20, 0x0A)
+_RANDOMS = byte_randoms(71)
 _MAGIC = b"PFORIDS1"
 _U64 = np.uint64
 
@@ -153,7 +156,7 @@ def read_frames(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
 
 
 class WordEncoder:
-    """Ids of a text as little-endian uint32 bytes.
+    """Ids of texts.
 
     The vocabulary drops white space and never merges across it, so a text's ids are
     those of its words (cut at spaces and line feeds only) in a row. Nor does it merge a
@@ -167,7 +170,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -177,30 +180,42 @@ class WordEncoder:
             core = word
         return (core.lower() if core.isascii() else core), word[len(core) :]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        here = set().union(*cut)
+    def _learn(self, new: list[bytes]) -> None:
+        apart = [self._apart(w.decode("utf-8", "replace")) for w in new]
+        if len(self.parts) > REMEMBERED_PARTS:
+            self.parts = {"": b""}
+        parts = self.parts
+        fresh = list({x for pair in apart for x in pair} - parts.keys())
+        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            parts[x] = array("I", e.ids).tobytes()
+        self.known.update(zip(new, [parts[a] + parts[b] for a, b in apart]))
+        for x in fresh:
+            if len(x) > 64:
+                del parts[x]
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, its end id included, and all ids in a row."""
+        starts, ends, rows = words(data, offs, _CUTS)
+        codes, distinct = distinct_spans(data, starts, ends, _RANDOMS)
         if len(self.known) > REMEMBERED_WORDS:  # what occurs again and again stays
-            self.known = {w: self.known[w] for w in here if w in self.known}
-        new = list(here - self.known.keys())
+            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        new = [w for w in distinct if w not in self.known]
         if new:
-            apart = [self._apart(w) for w in new]
-            if len(self.parts) > REMEMBERED_PARTS:
-                self.parts = {"": b""}
-            parts = self.parts
-            fresh = list({x for pair in apart for x in pair} - parts.keys())
-            for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-                parts[x] = array("I", e.ids).tobytes()
-            self.known.update(zip(new, [parts[a] + parts[b] for a, b in apart]))
-            for x in fresh:
-                if len(x) > 64:
-                    del parts[x]
-        find = self.known.__getitem__
-        out = [b"".join(map(find, ws)) for ws in cut]
+            self._learn(new)
+        coded = list(map(self.known.__getitem__, distinct))
         for w in new:
             if len(w) > 64:
                 del self.known[w]
-        return out
+        flat = np.frombuffer(b"".join(coded), "<u4")
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        begin = np.cumsum(size) - size
+        count = size[codes]
+        total = np.concatenate([[0], np.cumsum(count)])
+        ids = flat[np.repeat(begin[codes] - total[:-1], count) + np.arange(total[-1])] if len(codes) else flat[:0]
+        lengths = np.diff(total[rows])
+        out = np.full(len(ids) + len(lengths), end_id, np.uint32)
+        out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
+        return lengths + 1, out
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -226,16 +241,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     path = vocabulary or tokenizer_path("word_bpe_49k.json")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(path), struct.pack("<I", end_id)
+        encode = encoder(path)
         fs, base = _open_folder(folder)
         part = TaskContext.get().partitionId()
         sink, offsets, name, total, n_docs = None, [], f"ids-{part:06d}-{uuid.uuid4().hex}", 0, 0
         held_docs: list = []
-        held: list[bytes] = []
-        held_bytes = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> None:
-            nonlocal sink, held_bytes, total, n_docs
+            nonlocal sink, total, n_docs
             if not held_docs:
                 return
             if sink is None:
@@ -243,22 +257,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
                 sink = fs.open_output_stream(f"{base}/{name}")
                 sink.write(_MAGIC)
             offsets.append(sink.tell())
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
-            ids = np.frombuffer(b"".join(held), "<u4")
+            lengths, ids = (np.concatenate(x) for x in zip(*held))
             write_frame(sink, held_docs, lengths, ids)
             total, n_docs = total + len(ids), n_docs + len(held_docs)
             held_docs.clear()
             held.clear()
-            held_bytes = 0
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b in sized(batch.column(1)):
-                coded = [x + end for x in encode(decoded(batch.column(1).slice(a, b - a)))]
+            for a, b, data, offs in pieces(batch):
+                held.append(encode(data, offs, end_id))
                 held_docs += doc_ids[a:b]
-                held += coded
-                held_bytes += sum(map(len, coded))
-                if held_bytes >= 4 * FRAME_IDS:
+                if sum(len(x) for _, x in held) >= FRAME_IDS:
                     flush()
         flush()
         if sink is not None:

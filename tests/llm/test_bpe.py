@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -10,7 +11,7 @@ from svgloom.llm.common import tokenizer_path
 PATH = tokenizer_path("byte_bpe_multi_50k.tiktoken")
 TEXTS = [
     "Hello world's  text,\n\n  with gaps \t and\nlines ",
-    " leading", "  two", "", " ", "   ", "\n \n x", "a\n \nb", "x \x1c y  z", "naïve Ünïcode — 世界 12345 <|endoftext|>",
+    " leading", "  two", "", " ", "   ", "\n \n x", "a\n \nb", "a \u2003b", "\u3000 \u00a0x \u00a0", "a é b", "q \u1680z", "x \x1c y  z", "naïve Ünïcode — 世界 12345 <|endoftext|>",
     "a" * 700 + "b" * 300 + " " + "ab" * 400, "Zq9" * 60 + "\u0001\u0002" * 50, "word " * 500, "\x00nul \x00",
 ]
 
@@ -22,7 +23,8 @@ def library():
 
 def test_as_the_library(library):
     coder = bpe.DuckBpe(PATH, public_tokenizers.PATTERN)
-    coded = coder.trip(TEXTS)
+    raw = [t.encode() for t in TEXTS]
+    coded = coder.trip(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
     for text, (ids, raw) in zip(TEXTS, coded):
         assert [int(i) for i in ids.split(",") if i] == library.encode_ordinary(text), text
         assert raw.decode() == text
