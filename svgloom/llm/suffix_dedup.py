@@ -10,7 +10,8 @@ one minimizer, with the bytes that the strings cover. All strings that can be eq
 lie in segments with one key, which is what spreads them over the cluster. Keys that occur
 once are dropped (without bytes having been moved), and of equal segments only the
 earliest goes on, the others being later copies in whole; equal segments of a task
-meet before the shuffle.
+meet before the shuffle. Where they meet, segments are cut once more by minimizers
+of two other hashes, and what is then alone with its keys is left out.
 
 The segments of a task are a collection whose Burrows-Wheeler transform grows by one
 symbol of each segment in a round, from the last to the first. BWT and common prefixes lie
@@ -24,8 +25,8 @@ A key with more than ``HOT`` distinct segments is dealt out further by a hash of
 so that no task holds an unbounded collection.
 
 Null text counts as empty. Null doc_id is the smallest id. Rows that repeat an id and
-a text are one document (both rows stay, with one result); with other texts they are ordered by a hash of
-the text. An empty table gives an empty result.
+a text are one document (both rows stay, with one result); with other texts they are told apart and ordered by
+``TEXT_BITS`` bits of a hash of the text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,13 +50,17 @@ from .common import byte_randoms, mix, narrow, pieces, span_hashes, table
 LENGTH = 100
 MINIMIZER = 24
 #: String starts that a segment may hold.
-LONGEST = 256
+LONGEST = LENGTH - MINIMIZER + 1
 #: Distinct segments with one key above which they are dealt out by string.
 HOT = 20_000
 #: Segments that one collection holds at least, if the task has them; keys are never parted.
-COLLECTION = 24_000
+COLLECTION = 8_000
+
+#: Bits of a text's hash that tell rows of one id apart. With a start, a number of starts and flags they fill one number.
+TEXT_BITS = 19
 
 _RANDOMS = byte_randoms(11)
+_FLIPS = (np.uint64(0x5BD1E9955BD1E995), np.uint64(0x1B873593CC9E2D51))
 _SPAN_RANDOMS = byte_randoms(12)
 _FIRST_ID = -(2**63)
 
@@ -90,8 +95,18 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[:n], x[width - done : width - done + n]) if width > done else x
 
 
+def pack(text, start, size, again, occurs):
+    """Text bits, start, string starts, whether the minimizer occurs again in the segment, and occurrences of the key (0: a later copy; 2: two or more)."""
+    return text << 42 | start << 11 | size << 3 | again << 2 | occurs
+
+
+def _places(p):
+    """Start and string starts of a packed number."""
+    return (p >> 11) & 0x7FFFFFFF, (p >> 3) & 255
+
+
 def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row, start in the row, string starts, key, occurrences of the minimizer (2 for more), and hash of the bytes, of each segment."""
+    """Row, start in the row, string starts, key, whether the minimizer occurs again in the segment, and hash of the bytes, of each segment."""
     n, w = len(data), LENGTH - MINIMIZER + 1
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.uint64))
     if n < LENGTH:
@@ -117,49 +132,50 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
         at, stops = np.sort(np.concatenate([at[~long], cuts])), stops
         stops = np.minimum(np.concatenate([at[1:], [n]]), stops[np.searchsorted(stops, at, "right")])
         size = stops - at
-    # places whose hash is the minimizer of a string around them
-    top = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, np.maximum)
-    value, count = np.unique(grams[np.flatnonzero(grams == top)], return_counts=True)
     key = low[at]
-    twice = np.minimum(count[np.minimum(np.searchsorted(value, key), len(value) - 1)], 2)
+    # places whose hash is the minimizer of a string around them, and how many of them with its key a segment covers
+    top = _sliding(np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)]), w, np.maximum)
+    places = np.flatnonzero(grams == top)
+    value, number = np.unique(grams[places], return_inverse=True)
+    line = np.sort(number * (n + 1) + places)
+    base = np.searchsorted(value, key) * (n + 1) + at
+    again = (np.searchsorted(line, base + size + w - 1) - np.searchsorted(line, base) > 1).astype(np.int64)
     row = np.searchsorted(offs, at, "right") - 1
-    return row, at - offs[row], size, key, twice, span_hashes(data, at, stops + LENGTH - 1, _SPAN_RANDOMS)
+    return row, at - offs[row], size, key, again, span_hashes(data, at, stops + LENGTH - 1, _SPAN_RANDOMS)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    source = narrow(docs)
-    return source.select(F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("d"), F.xxhash64("text").alias("th"), "doc_id", "text")
+    text_bits = F.shiftrightunsigned(F.xxhash64("text"), 64 - TEXT_BITS)
+    return narrow(docs).select(F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("d"), text_bits.alias("t"), "doc_id", "text")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """k, g, d, th, p (start, string starts and occurrences in one number) of each segment.
+    """Key k, hash g of the bytes, document d and packed place p of each segment.
 
-    Of equal segments in a piece of a batch the earliest carries their number; the others
-    have occurrences 0 and a key of their own.
+    Of equal segments in a piece of a batch the earliest counts for all; the others
+    are later copies, with a key of their own.
     """
     for batch in batches:
-        d_all, th_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        d_all, t_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for a, _, data, offs in pieces(batch, most=1 << 20):
-            row, start, size, key, twice, g = segments(data, offs)
+            row, start, size, key, again, g = segments(data, offs)
             if not len(row):
                 continue
-            d, th = d_all[a + row], th_all[a + row]
+            d, place = d_all[a + row], t_all[a + row] << 31 | start
             key = key.view(np.int64).copy()
+            occurs = np.ones(len(row), np.int64)
             _, inverse, count = np.unique(g, return_inverse=True, return_counts=True)
             many = np.flatnonzero(count[inverse] > 1)
             if len(many):
-                order = many[np.lexsort((start[many], th[many], d[many], key[many], g[many]))]
-                same = (g[order[1:]] == g[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
-                first = order[np.concatenate([[True], ~same])]
-                twice[first] = 2
-                leads = np.concatenate([[0], np.cumsum(~same)])
-                tie = (d[order] == d[first[leads]]) & (th[order] == th[first[leads]]) & (start[order] == start[first[leads]])
-                later = order[~tie]
-                twice[order[tie]] = 2
-                twice[later] = 0
-                key[later] = mix(d[later].view(np.uint64) * np.uint64(3) + start[later].astype(np.uint64)).view(np.int64)
-            p = start << 12 | size << 2 | twice
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, g.view(np.int64), d, th, p)], names=["k", "g", "d", "th", "p"])
+                order = many[np.lexsort((place[many], d[many], key[many], g[many]))]
+                new = np.concatenate([[True], (g[order[1:]] != g[order[:-1]]) | (key[order[1:]] != key[order[:-1]])])
+                first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                occurs[order] = 2
+                later = order[(d[order] != d[first]) | (place[order] != place[first])]
+                occurs[later] = 0
+                key[later] = mix(d[later].view(np.uint64) * np.uint64(3) + place[later].astype(np.uint64)).view(np.int64)
+            p = pack(t_all[a + row], start, size, again, occurs)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, g.view(np.int64), d, p)], names=["k", "g", "d", "p"])
 
 
 class Collection:
@@ -235,7 +251,7 @@ class Collection:
         return string, offset
 
 
-def later_strings(strings: list[np.ndarray], d: np.ndarray, th: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_strings(strings: list[np.ndarray], d: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segment, first string start and number of starts of the runs of strings that occur earlier in the collection."""
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
         c = Collection(strings, folder)
@@ -248,11 +264,11 @@ def later_strings(strings: list[np.ndarray], d: np.ndarray, th: np.ndarray, star
     group = np.cumsum(~joint[at])
     s, o = string[at], offset[at]
     place = start[s] + o
-    order = np.lexsort((place, th[s], d[s], group))
-    head = np.concatenate([[True], np.diff(group[order]) != 0]) if len(order) else np.zeros(0, bool)
-    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(order) else order
-    s, o, place = s[order], o[order], place[order]
-    at_first = (d[s] == d[string[at[lead]]]) & (th[s] == th[string[at[lead]]]) & (place == start[string[at[lead]]] + offset[at[lead]])
+    order = np.lexsort((place, d[s], group))
+    s, o, place, group = s[order], o[order], place[order], group[order]
+    new = np.concatenate([[True], np.diff(group) != 0]) if len(s) else np.zeros(0, bool)
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1] if len(s) else np.zeros(0, np.int64)
+    at_first = (d[s] == d[s[lead]]) & (place == place[lead])
     s, o = s[~at_first], o[~at_first]
     order = np.lexsort((o, s))
     s, o = s[order], o[order]
@@ -261,41 +277,79 @@ def later_strings(strings: list[np.ndarray], d: np.ndarray, th: np.ndarray, star
     return s[at], o[at], np.diff(np.append(at, len(s)))
 
 
+_CUT_NAMES = ["k", "sub", "d", "p", "bytes"]
+
+
 def _cut(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the segments that take part, with their keys; those of hot keys string by string."""
-    names = ["k", "sub", "d", "th", "start", "bytes"]
+
+    def rows(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:4]], pa.array(out[4], pa.binary())], names=_CUT_NAMES)
+
     for batch in batches:
-        ids, hashes, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist()
-        out: list[list] = [[] for _ in names]
+        ids, parts = batch.column(0).to_pylist(), batch.column(4).to_pylist()
+        out: list[list] = [[] for _ in _CUT_NAMES]
         for a, _, data, offs in pieces(batch):
+            raw = data.tobytes()
             for r in range(len(offs) - 1):
-                body = data[offs[r] : offs[r + 1]]
                 for x in parts[a + r]:
-                    start, n = x["p"] >> 12, (x["p"] >> 2) & 1023
-                    subs = np.zeros(n, np.int64)
+                    p = x["p"]
+                    start, n = _places(p)
+                    at = int(offs[r]) + start
                     if x["n"] > hot:
-                        at = np.arange(n)
-                        span = body[start : start + n + LENGTH - 1]
-                        subs = (span_hashes(span, at, at + LENGTH, _SPAN_RANDOMS) % np.uint64(1 + x["n"] * 40 // hot)).view(np.int64)
-                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(subs) != 0])).tolist()
+                        span, every = data[at : at + n + LENGTH - 1], np.arange(n)
+                        subs = (span_hashes(span, every, every + LENGTH, _SPAN_RANDOMS) % np.uint64(1 + x["n"] * 40 // hot)).tolist()
+                        cuts = [i for i in range(n) if i == 0 or subs[i] != subs[i - 1]]
+                    else:
+                        subs, cuts = [0], [0]
                     for i, j in zip(cuts, [*cuts[1:], n]):
-                        for c, v in zip(out, (x["k"], int(subs[i]), ids[a + r], hashes[a + r], start + i, body[start + i : start + j + LENGTH - 1].tobytes())):
+                        for c, v in zip(out, (x["k"], subs[i], ids[a + r], pack(p >> 42, start + i, j - i, (p >> 2) & 1, 1), raw[at + i : at + j + LENGTH - 1])):
                             c.append(v)
             if len(out[0]) > 5000:
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())], names=names)
-                out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in out[:5]], pa.array(out[5], pa.binary())], names=names)
+                yield rows(out)
+                out = [[] for _ in _CUT_NAMES]
+        yield rows(out)
+
+
+def _shared_runs(strings: list[bytes], key: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first string start and string starts of the runs that may hold an equal string: alike in key and in the minimizers of two more hashes."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+    grams = _gram_hashes(data, MINIMIZER)
+    w = LENGTH - MINIMIZER + 1
+    sketch = np.zeros(len(data) - LENGTH + 1, np.uint64)
+    for flip in _FLIPS:
+        sketch = mix(sketch ^ _sliding(mix(grams ^ flip), w, np.minimum))
+    inside = np.zeros(len(sketch) + 1, np.int64)
+    np.add.at(inside, offs[:-1], 1)
+    np.add.at(inside, offs[1:] - LENGTH + 1, -1)
+    inside = np.cumsum(inside[:-1]) > 0
+    begins = np.ones(len(sketch), bool)
+    begins[1:] = sketch[1:] != sketch[:-1]
+    begins[offs[:-1]] = True
+    at = np.flatnonzero(begins & inside)
+    stops = np.flatnonzero(inside & np.concatenate([begins[1:] | ~inside[1:], [True]])) + 1
+    segment = np.searchsorted(offs, at, "right") - 1
+    both = mix(sketch[at] + key[segment].view(np.uint64) * np.uint64(3))
+    _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
+    keep = (count[inverse] > 1) | again[segment]
+    return segment[keep], (at - offs[segment])[keep], (stops - at)[keep]
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of later strings (d, th, p) of the segments of a task, which come in the order of their keys."""
+    """Later strings (d, p) of the segments of a task, which come in the order of their keys."""
     held: list[tuple] = []
 
     def ended() -> pa.RecordBatch:
-        d, th, start = (np.array([x[i] for x in held], np.int64) for i in (2, 3, 4))
-        s, o, n = later_strings([np.frombuffer(x[5], np.uint8) for x in held], d, th, start)
-        p = (start[s] + o) << 12 | n << 2
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (d[s], th[s], p)], names=["d", "th", "p"])
+        key, sub, d, p = (np.array([x[i] for x in held], np.int64) for i in range(4))
+        segment, first, n = _shared_runs([x[4] for x in held], key + sub * 7, (p >> 2) & 1 == 1)
+        if not len(segment):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["d", "p"])
+        strings = [np.frombuffer(held[s][4], np.uint8)[a : a + k + LENGTH - 1] for s, a, k in zip(segment.tolist(), first.tolist(), n.tolist())]
+        d, text = d[segment], p[segment] >> 42
+        place = text << 31 | (_places(p)[0][segment] + first)  # in order, and a string further on is a place further on
+        s, o, k = later_strings(strings, d, place)
+        return pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(pack(text[s], (place[s] + o) & 0x7FFFFFFF, k, 0, 0))], names=["d", "p"])
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
@@ -311,20 +365,20 @@ def marked(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, text and marks (array of p: start and number of the starts of later strings, null for none) of every document."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = _keyed(docs)
-    found = source.select("d", "th", "text").mapInArrow(_scan, "k long, g long, d long, th long, p long")
+    found = source.select("d", "t", "text").mapInArrow(_scan, "k long, g long, d long, p long").repartition("k")
     occurs = F.col("p").bitwiseAND(3)
     by_key = Window.partitionBy("k")
-    ranked = found.withColumn("nth", F.rank().over(Window.partitionBy("k", "g").orderBy("d", "th", F.shiftright("p", 12))))
+    ranked = found.withColumn("nth", F.rank().over(Window.partitionBy("k", "g").orderBy("d", F.shiftright("p", 11))))
     ranked = ranked.withColumn("total", F.sum(occurs).over(by_key)).withColumn("n", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_key))
     copy = (occurs == 0) | (F.col("nth") > 1)
-    kept = ranked.where((occurs == 0) | (F.col("total") >= 2)).where(copy | (F.col("n") >= 2) | (occurs >= 2))
-    kept = materialize(kept.select(F.when(~copy, F.col("k")).alias("k"), "d", "th", "p", "n"), "segments")
+    kept = ranked.where(copy | ((F.col("total") >= 2) & (F.col("n") >= 2)) | (F.col("p").bitwiseAND(4) != 0))
+    kept = materialize(kept.select(F.when(~copy, F.col("k")).alias("k"), "d", F.shiftright("p", 42).alias("t"), "p", "n"), "segments")
 
-    parts = kept.where("k is not null").groupBy("d", "th").agg(F.collect_set(F.struct("k", "p", "n")).alias("parts"))
-    cut = source.join(parts, ["d", "th"]).select("d", "th", "doc_id", "text", "parts").mapInArrow(partial(_cut, hot=hot), "k long, sub long, d long, th long, start long, bytes binary")
-    compared = cut.repartition(n, "k", "sub").sortWithinPartitions("k", "sub").mapInArrow(_collect, "d long, th long, p long")
-    marks = kept.where("k is null").select("d", "th", "p").union(compared).groupBy("d", "th").agg(F.collect_set("p").alias("marks"))
-    return source.join(marks, ["d", "th"], "left").select("d", "th", "doc_id", "text", "marks")
+    parts = kept.where("k is not null").groupBy("d", "t").agg(F.collect_set(F.struct("k", "p", "n")).alias("parts"))
+    cut = source.join(parts, ["d", "t"]).select("d", "t", "doc_id", "text", "parts").mapInArrow(partial(_cut, hot=hot), "k long, sub long, d long, p long, bytes binary")
+    compared = cut.repartition(n, "k", "sub").sortWithinPartitions("k", "sub").mapInArrow(_collect, "d long, p long")
+    marks = kept.where("k is null").select("d", "p").union(compared).withColumn("t", F.shiftright("p", 42)).groupBy("d", "t").agg(F.collect_set("p").alias("marks"))
+    return source.join(marks, ["d", "t"], "left").select("d", "t", "doc_id", "text", "marks")
 
 
 def spans(marks: list[int] | None) -> list[tuple[int, int]]:
@@ -332,8 +386,8 @@ def spans(marks: list[int] | None) -> list[tuple[int, int]]:
     if not marks:
         return []
     p = np.sort(np.asarray(marks, np.int64))
-    a = p >> 12
-    b = np.maximum.accumulate(a + ((p >> 2) & 1023) + LENGTH - 1)
+    a, n = _places(p)  # one text, so in order of starts
+    b = np.maximum.accumulate(a + n + LENGTH - 1)
     new = np.concatenate([[True], a[1:] > b[:-1]])
     return list(zip(a[new].tolist(), b[np.append(np.flatnonzero(new)[1:] - 1, len(b) - 1)].tolist()))
 
