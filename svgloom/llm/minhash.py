@@ -10,19 +10,18 @@ threshold 0.8 a pair is missed with a probability under 1e-5.
 
 Lists are merged by their length. A short list (up to ``SHORT``) gives all its pairs. A long
 list gives the pairs of its first member only; once those are confirmed, a list whose
-members are in one component is skipped. In the others the members outside the largest
-component are compared with the rest, ``PIVOTS`` a round, until no list has two components
-that were not compared; a list with more than ``REFINED`` such members goes on as lists of
-pairs of coordinates (a candidate collides twice). So each round is linear in the
-postings, a group of near copies costs about one comparison for each member, and no
-link between components is lost.
+members are in one component is skipped. From the others go those members of whose shingles too many are
+in no other (they can link with none). What then shares lists is a family: its members
+outside the largest component are compared with the rest, part by part, without pairs
+being written. So no link between components is lost, a group of near copies costs about
+one comparison for each member, and only members that are near the group but not in it cost more.
 
 A pair is confirmed by 100 * intersection >= 80 * union over the full sets.
 
 Null or empty text, or text without a word: an empty set, linked with nothing. Null
 doc_id: no links, a component of its own (null). Rows that repeat a doc_id are kept;
-they share one set if their text is equal, and otherwise the largest set counts for the
-id. An empty table gives an empty result.
+they share one set if their text is equal; otherwise the id is posted under its largest set and linked by
+any of its texts. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +29,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from svgloom.session import materialize
 
@@ -48,10 +47,8 @@ ROWS = 4
 MATCHES = 2
 #: Members of a list that is compared in full.
 SHORT = 8
-#: Members of a long list, those outside its largest component first, that one round compares with the others.
-PIVOTS = 16
-#: Members outside the largest component above which a list goes on as lists of pairs of coordinates.
-REFINED = 64
+#: Members of a family in one part: two parts are compared in a task.
+PART = 512
 #: Documents whose ids may be broadcast.
 MOST_BROADCAST = 20_000
 
@@ -146,9 +143,9 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, few: bool, size: int) -> DataFrame:
     """Pairs (a, b) of class ids whose full sets meet the threshold; the texts of both are joined to the pair."""
     texts = docs.where(F.col("doc_id").isNotNull())
-    if few:  # so few ids that they may go to every task; the texts then need no shuffle by id
+    if few:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = texts.join(F.broadcast(ids), "doc_id")
+        texts = _of_ids(docs, ids, few)
     side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.join(side_b, "b").join(side_a, "a").select("a", "b", "text_a", "text_b")
@@ -211,24 +208,113 @@ def _links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     links = _compare(pairs.union(stars), classes, texts, size)
 
     # the long lists, without their first members, that still hold two components
-    key = ["j1", "v1", "j2", "v2"]
-    left = members.where((F.col("size") > SHORT) & (F.col("cls") != F.col("pivot"))).select(F.col("j").alias("j1"), F.col("v").alias("v1"), F.lit(-1).alias("j2"), F.lit(0).cast("long").alias("v2"), "cls")
-    coords = classes.select("cls", F.posexplode("coords").alias("jx", "vx"))
+    left = members.where((F.col("size") > SHORT) & (F.col("cls") != F.col("pivot"))).select("j", "v", "cls")
+    found = components(links)
+    live = _live(left, found)
+    if live is None:
+        return links
+    held = _shingles(live.select("cls").distinct(), texts, size)
+    able = _able(classes, held)
+    live = _live(left.join(able.select("cls"), "cls", "left_semi"), found)
+    if live is None:
+        return links
+    return materialize(links.union(_between(live, held)), "links")
+
+
+def _between(live: DataFrame, held: DataFrame) -> DataFrame:
+    """Links of members outside the largest component of their family (lists that share members) with the others.
+
+    Members are dealt into parts; two parts are compared in one task, as products of incidence
+    matrices, which gives all intersections of full sets at once. Pairs are never written: a task returns
+    one edge toward each component for each member.
+    """
+    least = live.groupBy("j", "v").agg(F.min("cls").alias("b"))
+    family = components(live.select("j", "v", F.col("cls").alias("a")).join(least, ["j", "v"]).select("a", "b")).withColumnRenamed("node", "cls").withColumnRenamed("component", "fam")
+    placed = live.select("cls", "comp").distinct().join(family, "cls")
+    counts = placed.groupBy("fam", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("fam").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
+    sets = held.groupBy("cls").agg(F.collect_list("g").alias("g"))  # a set: no more than its document
+    part = lambda n: F.ceil(n / PART).cast("int")
+    placed = placed.join(counts.select("fam", F.col("top.comp").alias("core"), part(F.col("all")).alias("n_all"), part(F.col("all") - F.col("top.k")).alias("n_out")), "fam").join(sets, "cls")
+    mine = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = placed.where("comp <> core").withColumn("p", mine("n_out")).withColumn("q", every("n_all")).withColumn("out", F.lit(True))
+    others = placed.withColumn("q", mine("n_all")).withColumn("p", every("n_out")).withColumn("out", F.lit(False))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf["out"].to_numpy()
+        x, y = pdf[out], pdf[~out]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        linked = _linked([np.asarray(g) for g in x["g"]], [np.asarray(g) for g in y["g"]])
+        xs, ys = x["cls"].to_numpy(), y["cls"].to_numpy()
+        i, k = np.nonzero(linked)
+        low = np.minimum.reduce([xs, np.where(linked, ys[None, :], np.iinfo(np.int64).max).min(axis=1)])
+        edges = np.unique(np.stack([np.concatenate([xs, ys[k]]), np.concatenate([low, low[i]])]), axis=1)
+        edges = edges[:, edges[0] != edges[1]]
+        return pd.DataFrame({"a": edges[0], "b": edges[1]})
+
+    columns = ["fam", "p", "q", "cls", "out", "g"]
+    return outside.select(*columns).union(others.select(*columns)).groupBy("fam", "p", "q").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Which sets of ``x`` are alike enough with which of ``y``, by their full intersections."""
+
+    def rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(g) for g in sets])
+
+    (gx, rx), (gy, ry) = rows(x), rows(y)
+    common = np.intersect1d(gx, gy)
+    kx, ky = np.isin(gx, common), np.isin(gy, common)
+    cx, cy, rx, ry = np.searchsorted(common, gx[kx]), np.searchsorted(common, gy[ky]), rx[kx], ry[ky]
+    both = np.zeros((len(x), len(y)), np.float32)
+    for a in range(0, len(common), columns):
+        left, right = (np.zeros((n, columns), np.float32) for n in (len(x), len(y)))
+        for m, c, r in ((left, cx, rx), (right, cy, ry)):
+            here = (c >= a) & (c < a + columns)
+            m[r[here], c[here] - a] = 1
+        both += left @ right.T
+    sizes = np.array([len(g) for g in x])[:, None] + np.array([len(g) for g in y])[None, :]
+    return (both > 0) & (100 * both >= PERCENT * (sizes - both))
+
+
+def _of_ids(texts: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
+    """The texts of these ids; so few that they may go to every task, or by a shuffle."""
+    return texts.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id")
+
+
+def _shingles(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """cls and g: a row for each shingle of each of these classes."""
+    ids = materialize(ids.select(F.col("cls").alias("doc_id")), "live-ids")
+    mine = _of_ids(texts, ids, ids.count() <= MOST_BROADCAST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            for a, _, data, offs in pieces(batch):
+                sets = shingle_sets(data, offs, size)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[a : a + len(sets)], [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "g"])
+
+    # rows that repeat an id give its shingles once; other texts under one id are one set here, which can only add comparisons' work
+    return materialize(mine.select("doc_id", "text").mapInArrow(run, "cls long, g long").distinct(), "live-shingles")
+
+
+def _able(classes: DataFrame, held: DataFrame) -> DataFrame:
+    """Those classes of ``held`` that may link with another of them.
+
+    A prefix filter: with the rarest shingles first, a set that begins with more than
+    100 - PERCENT in a hundred of its own ones meets no other set and goes, which leaves
+    more shingles alone, and so on. Each pass is one partial count of shingles, linear in the sets.
+    """
+    able = held.select("cls").distinct().join(classes.select("cls", "n"), "cls")
+    left = able.count()
     while True:
-        found = components(links)
-        live = _live(left, key, found)
-        if live is None:
-            return links
-        refined = (F.col("j2") < 0) & (F.col("others") > REFINED)
-        now = live.where(~refined)
-        first = now.where(F.col("turn") <= PIVOTS).select(*key, F.col("cls").alias("p"), F.col("comp").alias("comp_p"))
-        pairs = now.join(first, key).where("comp <> comp_p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b"))
-        links = materialize(links.union(_compare(pairs, classes, texts, size)).distinct(), "links")
-        # a candidate collides twice: a list with many components goes on as lists of pairs of coordinates
-        second = live.where(refined).select("j1", "v1", "cls").join(coords, "cls").where("j1 <> jx")
-        low = F.col("j1") < F.col("jx")
-        second = second.select(F.least("j1", "jx").alias("j1"), F.when(low, F.col("v1")).otherwise(F.col("vx")).alias("v1"), F.greatest("j1", "jx").alias("j2"), F.when(low, F.col("vx")).otherwise(F.col("v1")).alias("v2"), "cls").distinct()
-        left = now.where(F.col("turn") > PIVOTS).select(*key, "cls").union(second)
+        single = held.join(able.select("cls"), "cls", "left_semi").groupBy("g").agg(F.min("cls").alias("cls"), F.max("cls").alias("last")).where("cls = last")
+        alone = able.join(single.groupBy("cls").agg(F.count(F.lit(1)).alias("alone")), "cls", "left")
+        able = materialize(alone.where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= PERCENT * F.col("n")).select("cls", "n"), "able")
+        before, left = left, able.count()
+        if before - left <= before // 20:  # what few more passes would take away costs less to compare
+            return able
 
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
@@ -240,13 +326,11 @@ def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int)
     return materialize(_confirm(candidates, texts, few, size), "links")
 
 
-def _live(lists: DataFrame, key: list[str], found: DataFrame) -> DataFrame | None:
-    """Members of the lists that hold two components or more, with component, members outside the largest one, and a turn that puts those first; None if there are none."""
+def _live(lists: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Members, with their components, of the lists that hold two components or more; None if there are none."""
     placed = lists.join(found.withColumnRenamed("node", "cls").withColumnRenamed("component", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    held = placed.groupBy(*key, "comp").agg(F.count(F.lit(1)).alias("k")).groupBy(*key).agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"))
-    mixed = held.where(F.col("all") > F.col("top.k")).select(*key, F.col("top.comp").alias("largest"), (F.col("all") - F.col("top.k")).alias("others"))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.col("comp") == F.col("largest"), "comp", "cls"))
-    live = materialize(placed.join(mixed, key).withColumn("turn", turn).drop("largest"), "live")
+    mixed = placed.groupBy("j", "v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("j", "v")
+    live = materialize(placed.join(mixed, ["j", "v"]), "live")
     return None if live.isEmpty() else live
 
 
