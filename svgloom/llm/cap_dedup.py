@@ -28,7 +28,6 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +40,15 @@ from .components import components
 COSINE = 0.98
 BLOCKS = 4
 #: Filters of a vector on average, and at least.
-LIST = 28
-LEAST = 12
+LIST = 24
+LEAST = 20
 #: Unrelated vectors in a filter on average.
-TOGETHER = 8
+TOGETHER = 1
 #: Vectors that one task compares with each other.
 BUCKET = 1024
+#: Members of a bucket up to which its pairs are compared together with those of other buckets, and rows of a step.
+SMALL = 24
+ROWS = 8192
 
 
 class Code:
@@ -134,6 +136,101 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)))
 
 
+def compare_small(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, weight: np.ndarray, x: np.ndarray, lists: list[np.ndarray], here: np.ndarray, part: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same as :func:`compare` for many small buckets, which follow each other in the arrays, at once."""
+    count, low = np.zeros(len(ids), np.int64), ids.copy()
+    left, right = [], []
+    for n in np.unique(sizes).tolist():
+        i, k = np.triu_indices(n, 1)
+        at = starts[sizes == n][:, None]
+        left.append((at + i).ravel())
+        right.append((at + k).ravel())
+    i, k = np.concatenate(left), np.concatenate(right)
+    near = []
+    for a in range(0, len(i), 1 << 17):
+        c = np.einsum("ij,ij->i", x[i[a : a + (1 << 17)]], x[k[a : a + (1 << 17)]])
+        sure = c >= COSINE
+        for e in np.flatnonzero(np.abs(c - COSINE) < 1e-9).tolist():
+            sure[e] = cosine(x[i[a + e]], x[k[a + e]]) >= COSINE
+        near.append(a + np.flatnonzero(sure))
+    near = np.concatenate(near) if near else np.zeros(0, np.int64)
+    i, k = i[near], k[near]
+    if len(i):
+        used = np.unique(np.concatenate([i, k]))
+        wide = max(len(lists[r]) for r in used.tolist())
+        table = np.full((len(ids), wide), -1, np.int64)
+        for r in used.tolist():
+            table[r, : len(lists[r])] = lists[r]
+        for a in range(0, len(i), 1 << 14):
+            p, q = i[a : a + (1 << 14)], k[a : a + (1 << 14)]
+            both = (table[p][:, :, None] == table[q][:, None, :]) & (table[p] >= 0)[:, :, None] & (table[p] < here[p][:, None])[:, :, None]
+            mine = ~both.any(axis=(1, 2)) & (~across[p] | (part[p] != part[q]))
+            np.add.at(count, p[mine], weight[q[mine]])
+            np.add.at(count, q[mine], weight[p[mine]])
+        while True:
+            before = low.copy()
+            np.minimum.at(low, i, before[k])
+            np.minimum.at(low, k, before[i])
+            if (low == before).all():
+                break
+    return count, low
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, rep, links, low of the members of the buckets of a task, which come in the order of their keys."""
+    names = ["label", "d", "f", "p", "q"]
+    held: list[pa.RecordBatch] = []
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        label, d, f, p, q = (t.column(n).to_numpy() for n in names)
+        ids, weight, part = (t.column(n).to_numpy() for n in ("rep", "weight", "part"))
+        new = np.ones(len(ids), bool)
+        new[1:] = (label[1:] != label[:-1]) | (d[1:] != d[:-1]) | (f[1:] != f[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, len(ids)))
+        flat = t.column("e").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        begin = np.concatenate([[0], np.cumsum(d)])
+        lists = [x.values.to_numpy() for x in t.column("filters").combine_chunks()]
+        count, low = np.zeros(len(ids), np.int64), ids.copy()
+        for dim in np.unique(d).tolist():
+            rows = np.flatnonzero(d == dim)
+            x = flat[begin[rows][:, None] + np.arange(dim)]
+            x = x / np.abs(x).max(axis=1, keepdims=True)
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            place = np.full(len(ids), -1)
+            place[rows] = np.arange(len(rows))
+            mine = d[starts] == dim
+            small = mine & (sizes <= SMALL) & (sizes > 1)
+            if small.any():
+                c, m = compare_small(place[starts[small]], sizes[small], ids[rows], weight[rows], x, [lists[r] for r in rows.tolist()], f[rows], part[rows], p[rows] != q[rows])
+                count[rows] += c
+                low[rows] = np.minimum(low[rows], m)
+            for a, n in zip(starts[mine & (sizes > SMALL)].tolist(), sizes[mine & (sizes > SMALL)].tolist()):
+                r = slice(a, a + n)
+                at = place[r]
+                count[r], low[r] = compare(ids[r], weight[r], x[at], lists[a : a + n], int(f[a]), part[r], (int(p[a]), int(q[a])))
+        keep = (count > 0) | (low != ids)
+        return pa.RecordBatch.from_arrays([pa.array(label[keep], pa.string()), *[pa.array(v[keep], pa.int64()) for v in (ids, count, low)]], names=["label", "rep", "links", "low"])
+
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < ROWS:
+            continue
+        t = pa.Table.from_batches(held)
+        keys = [t.column(n).to_numpy() for n in names]
+        last = t.num_rows - 1
+        same = np.logical_and.reduce([k == k[last] for k in keys])
+        first = int(np.flatnonzero(same)[0])  # the last bucket may go on in the next batch
+        if first:
+            yield done(t.slice(0, first))
+        held = t.slice(first).to_batches()
+        rows = t.num_rows - first
+    if rows:
+        yield done(pa.Table.from_batches(held))
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     spark = ship(vectors.sparkSession)
@@ -173,16 +270,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("p"), F.greatest(o, F.col("part")).alias("q")))
     grouped = members.select("label", "d", "f", "e", "rep", "weight", "filters", "part", F.explode(pairs).alias("pq")).select("label", "d", "f", "pq.p", "pq.q", "e", "rep", "weight", "filters", "part")
 
-    def bucket(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["e"].tolist(), np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-        ids = pdf["rep"].to_numpy()
-        count, low = compare(ids, pdf["weight"].to_numpy(), x, [np.asarray(f) for f in pdf["filters"]], int(key[2]), pdf["part"].to_numpy(), (int(key[3]), int(key[4])))
-        keep = (count > 0) | (low != ids)
-        return pd.DataFrame({"label": key[0], "rep": ids[keep], "links": count[keep], "low": low[keep]})
-
-    found = materialize(grouped.groupBy("label", "d", "f", "p", "q").applyInPandas(bucket, "label string, rep long, links long, low long"), "cap-links")
+    key = ["label", "d", "f", "p", "q"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_buckets = grouped.repartition(n, *key).sortWithinPartitions(*key)
+    found = materialize(sorted_buckets.mapInArrow(_buckets, "label string, rep long, links long, low long").groupBy("label", "rep", "low").agg(F.sum("links").alias("links")), "cap-links")
     # a label is part of a node: one vec_id may stand in rows of several labels
     roots = components(found.where("low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b")))
     links = found.groupBy("label", "rep").agg(F.sum("links").alias("links"))
