@@ -39,8 +39,10 @@ BLOCK = 128
 PERCENTILE = 0.9
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
+#: Bytes of text whose words are looked up together.
+STEP_BYTES = 8 << 20
 #: Words, and parts of words, that a worker remembers with their ids.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 700_000
 REMEMBERED_PARTS = 900_000
 #: Fixed value: stops that may end a word.
 _STOPS = ".,;:!?"
@@ -265,7 +267,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for a, b, data, offs in pieces(batch):
+            for a, b, data, offs in pieces(batch, most=STEP_BYTES):
                 held.append(encode(data, offs, end_id))
                 held_docs += doc_ids[a:b]
                 if sum(len(x) for _, x in held) >= FRAME_IDS:
