@@ -40,10 +40,10 @@ PERCENTILE = 0.9
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 20
 #: Bytes of text whose words are looked up together.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 6 << 20
 #: Words, and parts of words, that a worker remembers with their ids.
 REMEMBERED_WORDS = 700_000
-REMEMBERED_PARTS = 900_000
+REMEMBERED_PARTS = 700_000
 #: Fixed value: stops that may end a word.
 _STOPS = ".,;:!?"
 #: Fixed value: the white space that words are cut at.
