@@ -11,7 +11,8 @@ lie in segments with one key, which is what spreads them over the cluster. Keys
 once are dropped (without bytes having been moved), and of equal segments only the
 earliest goes on, the others being later copies in whole; equal segments of a task
 meet before the shuffle. Where they meet, segments are cut once more by minimizers
-of two other hashes, and what is then alone with its keys is left out.
+of two other hashes; of equal runs again the earliest goes on, and what is then alone with its
+keys is left out.
 
 The segments of a task are a collection whose Burrows-Wheeler transform grows by one
 symbol of each segment in a round, from the last to the first. BWT and common prefixes lie
@@ -53,8 +54,9 @@ MINIMIZER = 24
 LONGEST = LENGTH - MINIMIZER + 1
 #: Distinct segments with one key above which they are dealt out by string.
 HOT = 20_000
-#: Segments that one collection holds at least, if the task has them; keys are never parted.
-COLLECTION = 8_000
+#: Segments that are taken up at once, and strings that one collection holds at least, if the task has them; keys are never parted.
+COLLECTION = 24_000
+STRINGS = 3_000
 
 #: Bits of a text's hash that tell rows of one id apart. With a start, a number of starts and flags they fill one number.
 TEXT_BITS = 19
@@ -193,6 +195,11 @@ class Collection:
     def _path(self, name: str) -> str:
         return os.path.join(self.folder, name)
 
+    def _write(self, name: str, values: np.ndarray) -> None:
+        """A file only grows, so it is written over in place."""
+        with open(self._path(name), "r+b") as f:
+            f.write(memoryview(values).cast("B"))
+
     def build(self) -> tuple[np.ndarray, np.ndarray]:
         """BWT and common prefixes (up to 255) of all suffixes in order; the first len(strings) are the empty ones."""
         m = len(self.size)
@@ -215,7 +222,8 @@ class Collection:
                 mine = by_symbol[cuts[c] : cuts[c + 1]]
                 rank[mine] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], newest[mine])
             # common prefixes of the new suffixes and of their successors
-            touched = np.unique(np.concatenate([rank, rank + 1]))[::-1]
+            touched = np.sort(np.concatenate([rank, rank + 1]))[::-1]
+            touched = touched[np.append(True, touched[1:] != touched[:-1])]
             touched = touched[touched < len(bwt)]
             touched = touched[bwt[order[touched]] == bwt[order[touched - 1]]]
             pairs = np.empty(2 * len(touched), np.int64)
@@ -231,8 +239,8 @@ class Collection:
             out_bwt[place] = np.where(self.size[strings] > j, self.text[before], 0)
             out_lcp[place] = 0
             out_lcp[m + touched - done] = np.minimum(least, 254) + 1
-            out_bwt.tofile(self._path("bwt"))
-            out_lcp.tofile(self._path("lcp"))
+            self._write("bwt", out_bwt)
+            self._write("lcp", out_lcp)
             newest = place
         return np.fromfile(self._path("bwt"), self.kind), np.fromfile(self._path("lcp"), np.uint8)
 
@@ -311,8 +319,8 @@ def _cut(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch
         yield rows(out)
 
 
-def _shared_runs(strings: list[bytes], key: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Segment, first string start and string starts of the runs that may hold an equal string: alike in key and in the minimizers of two more hashes."""
+def _runs(strings: list[bytes], key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segment, first string start, string starts, key and hash of the bytes of the runs of strings that are alike in the minimizers of two more hashes, too."""
     data = np.frombuffer(b"".join(strings), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
     grams = _gram_hashes(data, MINIMIZER)
@@ -331,9 +339,17 @@ def _shared_runs(strings: list[bytes], key: np.ndarray, again: np.ndarray) -> tu
     stops = np.flatnonzero(inside & np.concatenate([begins[1:] | ~inside[1:], [True]])) + 1
     segment = np.searchsorted(offs, at, "right") - 1
     both = mix(sketch[at] + key[segment].view(np.uint64) * np.uint64(3))
-    _, inverse, count = np.unique(both, return_inverse=True, return_counts=True)
-    keep = (count[inverse] > 1) | again[segment]
-    return segment[keep], (at - offs[segment])[keep], (stops - at)[keep]
+    return segment, at - offs[segment], stops - at, both, span_hashes(data, at, stops + LENGTH - 1, _SPAN_RANDOMS)
+
+
+def _parts(both: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows, which come in the order of their keys, in collections of about STRINGS; a key is never parted."""
+    ends = np.flatnonzero(np.append(both[1:] != both[:-1], True)) + 1
+    a = 0
+    while a < len(both):
+        b = int(ends[np.searchsorted(ends, min(len(both), a + STRINGS))])
+        yield np.arange(a, b)
+        a = b
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,14 +358,27 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def ended() -> pa.RecordBatch:
         key, sub, d, p = (np.array([x[i] for x in held], np.int64) for i in range(4))
-        segment, first, n = _shared_runs([x[4] for x in held], key + sub * 7, (p >> 2) & 1 == 1)
-        if not len(segment):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["d", "p"])
-        strings = [np.frombuffer(held[s][4], np.uint8)[a : a + k + LENGTH - 1] for s, a, k in zip(segment.tolist(), first.tolist(), n.tolist())]
-        d, text = d[segment], p[segment] >> 42
+        segment, first, n, both, g = _runs([x[4] for x in held], key + sub * 7)
+        d, text, again = d[segment], p[segment] >> 42, (p[segment] >> 2) & 1 == 1
         place = text << 31 | (_places(p)[0][segment] + first)  # in order, and a string further on is a place further on
-        s, o, k = later_strings(strings, d, place)
-        return pa.RecordBatch.from_arrays([pa.array(d[s]), pa.array(pack(text[s], (place[s] + o) & 0x7FFFFFFF, k, 0, 0))], names=["d", "p"])
+        # of equal runs the earliest goes on, the others are later copies in whole
+        order = np.lexsort((place, d, g, both))
+        new = np.concatenate([[True], (both[order[1:]] != both[order[:-1]]) | (g[order[1:]] != g[order[:-1]])])
+        lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = order[(d[order] != d[lead]) | (place[order] != place[lead])]
+        out_d, out_p = [d[later]], [pack(text[later], place[later] & 0x7FFFFFFF, n[later], 0, 0)]
+        # what is alone with its keys now holds no string of another run
+        kept = order[new]
+        _, inverse, count = np.unique(both[kept], return_inverse=True, return_counts=True)
+        kept = kept[(count[inverse] > 1) | again[kept]]
+        for rows in _parts(both[kept]):
+            some = kept[rows]
+            strings = [np.frombuffer(held[s][4], np.uint8)[i : i + k + LENGTH - 1] for s, i, k in zip(segment[some].tolist(), first[some].tolist(), n[some].tolist())]
+            s, o, k = later_strings(strings, d[some], place[some])
+            s = some[s]
+            out_d.append(d[s])
+            out_p.append(pack(text[s], (place[s] + o) & 0x7FFFFFFF, k, 0, 0))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_d, out_p)], names=["d", "p"])
 
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns]):
