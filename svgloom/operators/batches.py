@@ -9,6 +9,22 @@ from pyspark.sql.window import Window
 from svgloom import config
 
 
+def tokenized(text: Column, encode, end: str = "") -> Column:
+    """Token ids of a text with ``end`` behind it; ``encode`` takes a list of texts and gives a list of id lists, and is loaded once in a worker."""
+    import pandas as pd
+
+    @F.pandas_udf("array<int>")
+    def run(column: pd.Series) -> pd.Series:
+        return pd.Series(encode([(x or "") + end for x in column]))
+
+    return run(text)
+
+
+def target_ids(svg: Column, encode, eos: str) -> Column:
+    """The ids that are learned: the drawing, the end mark and a line feed."""
+    return tokenized(svg, encode, eos + "\n")
+
+
 def sequence_length(prompt: Column, target: Column) -> Column:
     return F.size(prompt) + F.size(target)
 
