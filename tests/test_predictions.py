@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 RED = '<svg width="4" height="4"><rect width="4" height="4" fill="red"/></svg>'
 
 
-class Failing:
-    async def generate(self, prompt):
-        if "bad" in prompt:
-            raise TimeoutError("too slow")
-        return RED
-
-
 def test_calls_and_evaluation(spark):
+    class Failing:
+        async def generate(self, prompt):
+            if "bad" in prompt:
+                raise TimeoutError("too slow")
+            return RED
+
     d = spark.createDataFrame([(0, "good", RED), (1, "bad", RED), (2, "fine", RED.replace("red", "blue"))], "output_index long, prompt string, svg string")
     out = predictions.generated(d, Failing()).collect()
     assert {r.output_index: r.request_error for r in out} == {0: None, 1: "TimeoutError: too slow", 2: None}
