@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,8 +12,6 @@ from svgloom import config
 
 def tokenized(text: Column, encode, end: str = "") -> Column:
     """Token ids of a text with ``end`` behind it; ``encode`` takes a list of texts and gives a list of id lists, and is loaded once in a worker."""
-    import pandas as pd
-
     @F.pandas_udf("array<int>")
     def run(column: pd.Series) -> pd.Series:
         return pd.Series(encode([(x or "") + end for x in column]))
