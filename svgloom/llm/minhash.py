@@ -49,8 +49,6 @@ MATCHES = 2
 SHORT = 8
 #: Members of a family in one part: two parts are compared in a task.
 PART = 512
-#: Documents whose ids may be broadcast.
-MOST_BROADCAST = 20_000
 
 _RANDOMS = byte_randoms(21)
 _RNG = np.random.default_rng(22)
@@ -140,15 +138,13 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return narrow(docs).mapInArrow(run, _SET_SCHEMA)
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, few: bool, size: int) -> DataFrame:
+def _confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """Pairs (a, b) of class ids whose full sets meet the threshold; the texts of both are joined to the pair."""
     texts = docs.where(F.col("doc_id").isNotNull())
-    if few:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = _of_ids(docs, ids, few)
     side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    joined = pairs.join(side_b, "b").join(side_a, "a").select("a", "b", "text_a", "text_b")
+    # one shuffle of the texts serves both sides, at every size
+    joined = pairs.hint("merge").join(side_b, "b").hint("merge").join(side_a, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -278,15 +274,10 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) ->
     return (both > 0) & (100 * both >= PERCENT * (sizes - both))
 
 
-def _of_ids(texts: DataFrame, ids: DataFrame, few: bool) -> DataFrame:
-    """The texts of these ids; so few that they may go to every task, or by a shuffle."""
-    return texts.where(F.col("doc_id").isNotNull()).join(F.broadcast(ids) if few else ids, "doc_id")
-
-
 def _shingles(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """cls and g: a row for each shingle of each of these classes."""
     ids = materialize(ids.select(F.col("cls").alias("doc_id")), "live-ids")
-    mine = _of_ids(texts, ids, ids.count() <= MOST_BROADCAST)
+    mine = ids.hint("merge").join(texts.where(F.col("doc_id").isNotNull()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,11 +310,7 @@ def _able(classes: DataFrame, held: DataFrame) -> DataFrame:
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     candidates = materialize(_agree(pairs.distinct(), classes), "candidates")
-    n = candidates.count()
-    if not n:
-        return candidates
-    few = 2 * n <= MOST_BROADCAST
-    return materialize(_confirm(candidates, texts, few, size), "links")
+    return materialize(_confirm(candidates, texts, size), "links")
 
 
 def _live(lists: DataFrame, found: DataFrame) -> DataFrame | None:
