@@ -49,6 +49,8 @@ BUCKET = 1024
 #: Members of a bucket up to which its pairs are compared together with those of other buckets, and rows of a step.
 SMALL = 24
 ROWS = 8192
+#: Filters of a vector up to which lists are compared as rows of a table.
+WIDE = 48
 
 
 class Code:
@@ -156,17 +158,24 @@ def compare_small(starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, weight
     near = np.concatenate(near) if near else np.zeros(0, np.int64)
     i, k = i[near], k[near]
     if len(i):
+        width = np.array([len(f) for f in lists])
         used = np.unique(np.concatenate([i, k]))
-        wide = max(len(lists[r]) for r in used.tolist())
-        table = np.full((len(ids), wide), -1, np.int64)
+        used = used[width[used] <= WIDE]
+        table = np.full((len(ids), WIDE), -1, np.int64)
         for r in used.tolist():
-            table[r, : len(lists[r])] = lists[r]
-        for a in range(0, len(i), 1 << 14):
-            p, q = i[a : a + (1 << 14)], k[a : a + (1 << 14)]
-            both = (table[p][:, :, None] == table[q][:, None, :]) & (table[p] >= 0)[:, :, None] & (table[p] < here[p][:, None])[:, :, None]
-            mine = ~both.any(axis=(1, 2)) & (~across[p] | (part[p] != part[q]))
-            np.add.at(count, p[mine], weight[q[mine]])
-            np.add.at(count, q[mine], weight[p[mine]])
+            table[r, : width[r]] = lists[r]
+        narrow = (width[i] <= WIDE) & (width[k] <= WIDE)
+        first = np.ones(len(i), bool)  # no earlier filter holds both
+        for at in np.array_split(np.flatnonzero(narrow), -(-int(narrow.sum()) // 4096) or 1):
+            p, q = table[i[at]], table[k[at]]
+            both = (p[:, :, None] == q[:, None, :]) & ((p >= 0) & (p < here[i[at]][:, None]))[:, :, None]
+            first[at] = ~both.any(axis=(1, 2))
+        for e in np.flatnonzero(~narrow).tolist():
+            shared = np.intersect1d(lists[i[e]], lists[k[e]], assume_unique=True)
+            first[e] = shared[0] >= here[i[e]]
+        mine = first & (~across[i] | (part[i] != part[k]))
+        np.add.at(count, i[mine], weight[k[mine]])
+        np.add.at(count, k[mine], weight[i[mine]])
         while True:
             before = low.copy()
             np.minimum.at(low, i, before[k])
