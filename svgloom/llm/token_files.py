@@ -41,9 +41,9 @@ PERCENTILE = 0.9
 FRAME_IDS = 1 << 20
 #: Bytes of text whose words are looked up together.
 STEP_BYTES = 6 << 20
-#: Words, and parts of words, that a worker remembers with their ids.
-REMEMBERED_WORDS = 700_000
-REMEMBERED_PARTS = 700_000
+#: Words, and parts of words, that a worker remembers with their ids, in each of two generations.
+REMEMBERED_WORDS = 350_000
+REMEMBERED_PARTS = 400_000
 #: Fixed value: stops that may end a word.
 _STOPS = ".,;:!?"
 #: Fixed value: the white space that words are cut at.
@@ -172,8 +172,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # each with an older generation: what is asked for again moves to the younger one
         self.known: dict[bytes, bytes] = {}
+        self.known_before: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.parts_before: dict[str, bytes] = {}
 
     @staticmethod
     def _apart(word: str) -> tuple[str, str]:
@@ -185,9 +188,12 @@ class WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         apart = [self._apart(w.decode("utf-8", "replace")) for w in new]
         if len(self.parts) > REMEMBERED_PARTS:
-            self.parts = {"": b""}
-        parts = self.parts
-        fresh = list({x for pair in apart for x in pair} - parts.keys())
+            self.parts, self.parts_before = {"": b""}, self.parts
+        parts, before = self.parts, self.parts_before
+        fresh = {x for pair in apart for x in pair} - parts.keys()
+        again = fresh & before.keys()
+        parts.update([(x, before[x]) for x in again])
+        fresh = list(fresh - again)
         for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             parts[x] = array("I", e.ids).tobytes()
         self.known.update(zip(new, [parts[a] + parts[b] for a, b in apart]))
@@ -199,9 +205,12 @@ class WordEncoder:
         """The number of ids of each text, its end id included, and all ids in a row."""
         starts, ends, rows = words(data, offs, _CUTS)
         codes, distinct = distinct_spans(data, starts, ends, _RANDOMS)
-        if len(self.known) > REMEMBERED_WORDS:  # what occurs again and again stays
-            self.known = {w: self.known[w] for w in distinct if w in self.known}
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known, self.known_before = {}, self.known
+        before = self.known_before
         new = [w for w in distinct if w not in self.known]
+        self.known.update([(w, before[w]) for w in new if w in before])
+        new = [w for w in new if w not in before]
         if new:
             self._learn(new)
         coded = list(map(self.known.__getitem__, distinct))
@@ -283,8 +292,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     return sorted(tuple(r) for r in ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect())
 
 
-def read_token_files(spark, folder: str, files: list[tuple[int, str, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (array) and ids_crc32 of every document, decoded from the files."""
+def read_token_files(spark, folder: str, files: list[tuple[int, str, int, int]], with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (array) of every document, decoded from the files."""
     rows, start = [], 0
     for _, name, _, n in files:
         rows.append((name, start))
@@ -298,20 +307,19 @@ def read_token_files(spark, folder: str, files: list[tuple[int, str, int, int]])
                     for docs, lengths, ids in read_frames(source):
                         raw, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(lengths)
                         begins = ends - lengths
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(docs, pa.int64()),
-                                pa.array(at + begins, pa.int64()),
-                                pa.array(lengths, pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1] if len(ends) else 0), pa.int32()), pa.array(ids.view(np.int32), pa.int32())),
-                                pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.int64()),
-                            ],
-                            names=["doc_id", "start", "n_tokens", "ids", "ids_crc32"],
-                        )
+                        columns = {
+                            "doc_id": pa.array(docs, pa.int64()),
+                            "start": pa.array(at + begins, pa.int64()),
+                            "n_tokens": pa.array(lengths, pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())], pa.int64()),
+                        }
+                        if with_ids:
+                            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.append(begins, ends[-1] if len(ends) else 0), pa.int32()), pa.array(ids.view(np.int32), pa.int32()))
+                        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                         at += len(ids)
 
     index = spark.createDataFrame(rows, "file string, start long").repartition(max(1, len(rows)))
-    return index.mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>, ids_crc32 long")
+    return index.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
@@ -319,4 +327,4 @@ def op7_token_files(spark, sf_dir: str) -> DataFrame:
 
     folder = new_folder(spark, "token-files")
     files = write_token_files(table(spark, sf_dir, "documents"), folder)
-    return read_token_files(spark, folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(spark, folder, files, with_ids=False)
