@@ -56,7 +56,7 @@ LONGEST = LENGTH - MINIMIZER + 1
 HOT = 20_000
 #: Segments that are taken up at once, and strings that one collection holds at least, if the task has them; keys are never parted.
 COLLECTION = 24_000
-STRINGS = 3_000
+STRINGS = 2_000
 
 #: Bits of a text's hash that tell rows of one id apart. With a start, a number of starts and flags they fill one number.
 TEXT_BITS = 19
@@ -159,7 +159,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         d_all, t_all = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for a, _, data, offs in pieces(batch, most=1 << 20):
+        for a, _, data, offs in pieces(batch, most=1 << 17):
             row, start, size, key, again, g = segments(data, offs)
             if not len(row):
                 continue
@@ -210,15 +210,16 @@ class Collection:
             bwt, lcp = np.fromfile(self._path("bwt"), self.kind), np.fromfile(self._path("lcp"), np.uint8)
             # suffixes that begin with a symbol stand in the order of its occurrences in the BWT
             order = np.argsort(bwt, kind="stable")
-            first = np.searchsorted(bwt[order], np.arange(int(bwt.max()) + 2))
+            first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=2))])
             done = int(first[1])  # strings that are complete
             goes_on = self.size[strings] >= j
             newest, strings = newest[goes_on], strings[goes_on]
-            symbol = bwt[newest].astype(np.int64)
+            symbol = bwt[newest]
             rank = np.empty(len(newest), np.int64)
             by_symbol = np.argsort(symbol, kind="stable")
-            cuts = np.searchsorted(symbol[by_symbol], np.arange(len(first)))
-            for c in np.unique(symbol).tolist():
+            number = np.bincount(symbol)
+            cuts = np.concatenate([[0], np.cumsum(number)])
+            for c in np.flatnonzero(number).tolist():
                 mine = by_symbol[cuts[c] : cuts[c + 1]]
                 rank[mine] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], newest[mine])
             # common prefixes of the new suffixes and of their successors
