@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from svgloom import config, schemas
 from svgloom.functions import native
 
-#: Bytes of digests that a broadcast of the lookup may have; beyond it the join shuffles digests.
-MOST_BROADCAST_ROWS = 500_000
-
 
 def with_split(df: DataFrame, svg: str = "svg", seed: int = config.SEED) -> DataFrame:
     return df.withColumn("split", native.split_of(F.col(svg), seed))
