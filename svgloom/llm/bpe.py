@@ -34,9 +34,9 @@ from .common import among, byte_randoms, distinct_spans, narrow, pieces, table,
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
 #: Pieces of text that a worker remembers with their ids.
-REMEMBERED = 800_000
-#: Words that a worker remembers with their ids and bytes.
-REMEMBERED_WORDS = 1_300_000
+REMEMBERED = 500_000
+#: Words that a worker remembers with their ids and bytes, in each of two generations.
+REMEMBERED_WORDS = 400_000
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 50_000
 
@@ -117,7 +117,7 @@ class DuckBpe:
         ranks = read_ranks(path)
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile(r" (?=\S)").split
-        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": "false"})
+        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": "false"})
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs = np.array(found, np.int64).reshape(-1, 3)
         self._register("p", pa.table({"pair": (pairs[:, 0] << 32) | pairs[:, 1], "a": pairs[:, 0], "b": pairs[:, 1], "made": pairs[:, 2].astype(np.int32)}))
@@ -130,7 +130,9 @@ class DuckBpe:
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, tuple[str, bytes]] = {}  # word: its ids, as decimals with commas, and the bytes that they decode to
+        # word: its ids, as decimals with commas, and the bytes that they decode to; what is asked for again moves to the younger generation
+        self.words: dict[str, tuple[str, bytes]] = {}
+        self.words_before: dict[str, tuple[str, bytes]] = {}
         self.pieces: dict[bytes, tuple[str, bytes]] = {}  # the same of a piece of text, mostly a space with what follows it
 
     def _register(self, name: str, t: pa.Table) -> None:
@@ -183,9 +185,12 @@ class DuckBpe:
     def _learn(self, new: list[str], keys: list[bytes]) -> None:
         """Encode and decode pieces of text and remember them under their keys."""
         if len(self.words) > REMEMBERED_WORDS:
-            self.words = {}
-        split = [self.split(p) for p in new]
-        words = list({w for ws in split for w in ws} - self.words.keys())
+            self.words, self.words_before = {}, self.words
+        split, before = [self.split(p) for p in new], self.words_before
+        words = {w for ws in split for w in ws} - self.words.keys()
+        again = words & before.keys()
+        self.words.update([(w, before[w]) for w in again])
+        words = list(words - again)
         self.words.update(zip(words, self.encode_words([w.encode() for w in words])))
         for key, ws in zip(keys, split):
             if len(ws) == 1:

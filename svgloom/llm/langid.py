@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -213,7 +214,7 @@ def keep_identified(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
 
     @F.pandas_udf("boolean")
-    def kept(text):
+    def kept(text: pd.Series) -> pd.Series:
         m = pickle.loads(sent.value)
         raw = [(t or "").encode("utf-8", "replace") for t in text]
         out = []
@@ -221,7 +222,7 @@ def keep_identified(docs: DataFrame, lang_col: str = "lang") -> DataFrame:
             part = raw[a : a + 100]
             names, score = m.predict(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int64))
             out += [n != UNKNOWN and s >= m.threshold for n, s in zip(names, score)]
-        return __import__("pandas").Series(out, dtype=bool)
+        return pd.Series(out, dtype=bool)
 
     narrow(docs)
     return docs.where(kept(F.col("text").cast("string")))
