@@ -16,6 +16,8 @@ from svgloom.session import materialize
 
 #: Words of a shingle of the near-dedup stage.
 SHINGLE = 5
+#: Words that a tokenizing worker remembers: fewer than by itself, as idle workers stay beside those of later stages.
+REMEMBERED_WORDS = 100_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with digests of ids and of what they decode to."""
-    return bpe.round_trip(docs, with_ids=True)
+    return bpe.round_trip(docs, with_ids=True, remembered=REMEMBERED_WORDS)
 
 
 STAGES = [

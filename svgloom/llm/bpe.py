@@ -110,11 +110,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class DuckBpe:
     """Encoder and decoder over one in-process DuckDB database."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_WORDS) -> None:
         import duckdb
         import regex
 
         ranks = read_ranks(path)
+        self.most_words, self.most_pieces = remembered, remembered * REMEMBERED // REMEMBERED_WORDS
         self.split = regex.compile(pattern).findall
         self.cut = regex.compile(r" (?=\S)").split
         self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": "false"})
@@ -184,7 +185,7 @@ class DuckBpe:
 
     def _learn(self, new: list[str], keys: list[bytes]) -> None:
         """Encode and decode pieces of text and remember them under their keys."""
-        if len(self.words) > REMEMBERED_WORDS:
+        if len(self.words) > self.most_words:
             self.words, self.words_before = {}, self.words
         split, before = [self.split(p) for p in new], self.words_before
         words = {w for ws in split for w in ws} - self.words.keys()
@@ -205,7 +206,7 @@ class DuckBpe:
     def _find(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
         """Ids and decoded bytes of distinct pieces of text."""
         known = self.pieces
-        if len(known) > REMEMBERED:  # what occurs again and again stays
+        if len(known) > self.most_pieces:  # what occurs again and again stays
             known = self.pieces = {p: known[p] for p in pieces if p in known}
         new = [p for p in pieces if p not in known]
         if new:
@@ -253,14 +254,14 @@ class DuckBpe:
         return out
 
 
-_CODERS: dict[tuple[str, str], DuckBpe] = {}
+_CODERS: dict[tuple, DuckBpe] = {}
 
 
-def coder(path: str, pattern: str) -> DuckBpe:
+def coder(*settings) -> DuckBpe:
     """This worker's coder: kept between tasks."""
-    if (path, pattern) not in _CODERS:
-        _CODERS[path, pattern] = DuckBpe(path, pattern)
-    return _CODERS[path, pattern]
+    if settings not in _CODERS:
+        _CODERS[settings] = DuckBpe(*settings)
+    return _CODERS[settings]
 
 
 def _settings(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
@@ -299,12 +300,12 @@ def decode(coded: DataFrame, vocabulary: str | None = None, pattern: str | None
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """Encode every document, decode its ids, and return counts and digests of both, with the ids if asked for: the whole trip within one task, so that no ids are moved."""
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
+        bpe = coder(path, pattern, remembered)
         for batch in batches:
             for a, b, data, offs in pieces(batch):
                 coded = bpe.trip(data, offs)
