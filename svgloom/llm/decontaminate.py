@@ -9,10 +9,13 @@ text: step j writes the symbol under the walk and moves on by one word if a rand
 bit of (j, symbol) says so. Windows with few edits then agree in most places of the
 output, and places sampled from the output are a locality-sensitive key. Each of ``WALKS``
 walks has its own bits and its own sample. Items are embedded from each of their words
-on, so that a leak is found by any of its stretches; with the samples of all walks,
-the recall at the allowed number of edits is above 0.99 for items of 15 words or more, as the tests measure.
-Walks end after ``STEPS`` places, which the sample comes from; so one walk serves
-windows of all item sizes at once.
+on, so that a leak is found by any of its stretches. Walks end after ``STEPS`` places,
+which the sample comes from; so one walk serves windows of all item sizes at once.
+
+Walks alone miss leaks of short items. Items under ``PIECED`` words are therefore also cut into
+one piece more than edits are allowed: one piece at least stands unchanged in every leak, so
+a look-up of pieces misses none. Of the places that it gives those stay whose window
+holds as many of the item's words as a leak must.
 
 Colliding windows are confirmed by the exact edit distance of the item to the text
 around the window (semi-global, in words).
@@ -39,12 +42,14 @@ EDITS_PERCENT = 20
 WALKS = 4
 STEPS = 12
 SAMPLED = 6
-#: Walk over short items, whose windows hold fewer words than STEPS.
-SHORT_STEPS = 5
+#: Items of fewer words are also searched for by their pieces.
+PIECED = 64
 LEAST_WORDS = 5
 #: Bounds of a block of items: rows and bytes of text.
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 8 << 20
+#: Places of pieces that one numpy step compares with their items.
+PLACES = 1 << 13
 
 _RANDOMS = byte_randoms(91)
 _RNG = np.random.default_rng(92)
@@ -85,6 +90,14 @@ def keys(line: np.ndarray, at: np.ndarray, walk: int, steps: int, sample) -> np.
     return mix(out)
 
 
+def piece_keys(symbols: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The words from each position of ``at`` on, ``length`` of them, as one number."""
+    out = np.full(len(at), 1000 + length, np.uint64)
+    for j in range(length):
+        out += symbols.take(at + j) * _PLACE[0, j]
+    return mix(out)
+
+
 class Items:
     """A block of items with the keys of their windows."""
 
@@ -98,15 +111,22 @@ class Items:
         line, at = padded(h, rows)
         found, self.families = [], []
         size = np.diff(rows)
-        for steps, fits in ((STEPS, size >= STEPS), (SHORT_STEPS, (size >= LEAST_WORDS) & (size < STEPS))):
-            if not fits.any():
-                continue
-            item = np.concatenate([np.full(size[k] - steps + 1, k) for k in np.flatnonzero(fits)])
-            first = np.concatenate([np.arange(size[k] - steps + 1) for k in np.flatnonzero(fits)])
+        if (size >= STEPS).any():
+            item = np.concatenate([np.full(size[k] - STEPS + 1, k) for k in np.flatnonzero(size >= STEPS)])
+            first = np.concatenate([np.arange(size[k] - STEPS + 1) for k in np.flatnonzero(size >= STEPS)])
             for walk in range(WALKS):
-                sample = _SAMPLES[walk] if steps == STEPS else np.arange(SHORT_STEPS)
-                self.families.append((walk, steps, sample))
-                found.append((keys(line, at[rows[item] + first], walk, steps, sample), item, first))
+                self.families.append((walk, STEPS, _SAMPLES[walk]))
+                found.append((keys(line, at[rows[item] + first], walk, STEPS, _SAMPLES[walk]), item, first))
+        cuts: dict[int, list[tuple[int, int]]] = {}
+        for k in np.flatnonzero((size >= LEAST_WORDS) & (size < PIECED)).tolist():
+            n = int(size[k])
+            count = n * EDITS_PERCENT // 100 + 1
+            for a, b in ((n * c // count, n * (c + 1) // count) for c in range(count)):
+                cuts.setdefault(b - a, []).append((k, a))
+        self.lengths, symbols = sorted(cuts), mix(line * _WALK[0])
+        for length in self.lengths:
+            item, first = np.array(cuts[length]).T
+            found.append((piece_keys(symbols, at[rows[item] + first], length), item, first))
         if found:
             k, item, first = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(k, kind="stable")
@@ -118,6 +138,22 @@ class Items:
         self.hit = np.zeros(1 << bits, bool)
         self.hit[self.keys >> self.shift] = True
 
+    def near(self, h: np.ndarray, rows: np.ndarray, item: np.ndarray, place: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whether the window around each place holds as many words of the item as a leak of it must; each edit takes away one at most."""
+        out = np.zeros(len(item), bool)
+        size = np.array([len(w) for w in self.words])[item]
+        for n in np.unique(size).tolist():
+            allowed = n * EDITS_PERCENT // 100
+            for e in np.array_split(same := np.flatnonzero(size == n), len(same) // PLACES + 1):
+                where = (place[e] - allowed)[:, None] + np.arange(n + 2 * allowed)
+                inside = (where >= rows[row[e]][:, None]) & (where < rows[row[e] + 1][:, None])
+                # hashes of words are odd
+                text = np.where(inside, h.take(where, mode="clip"), np.uint64(0))
+                numbers, which = np.unique(item[e], return_inverse=True)
+                want = np.stack([self.words[i] for i in numbers.tolist()])[which]
+                out[e] = sum((text == want[:, j, None]).any(axis=1).astype(np.int64) for j in range(n)) >= n - allowed
+        return out
+
     def leaks(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item number, edits, first byte, end byte) of the items that it holds, the best place of each."""
         out: list[list] = [[] for _ in range(len(offs) - 1)]
@@ -125,15 +161,23 @@ class Items:
         if not len(h) or not len(self.keys):
             return out
         line, at = padded(h, rows)
-        pairs = []
-        for walk, steps, sample in self.families:
-            k = keys(line, at, walk, steps, sample)
+        symbols, pairs = mix(line * _WALK[0]), []
+        for family in (*self.families, *self.lengths):
+            pieced = isinstance(family, int)
+            k = piece_keys(symbols, at, family) if pieced else keys(line, at, *family)
             p = np.flatnonzero(self.hit[k >> self.shift])
             lo, hi = np.searchsorted(self.keys, k[p], "left"), np.searchsorted(self.keys, k[p], "right")
             p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            if len(p):
-                e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pairs.append(np.stack([self.item[e], np.repeat(p, n) - self.first[e], np.repeat(p, n)]))
+            # frequent pieces of many items in steps of about so many pairs
+            for some in np.array_split(np.arange(len(p)), int(n.sum()) // (1 << 18) + 1) if len(p) else ():
+                m = n[some]
+                e = np.repeat(lo[some], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                word = np.repeat(p[some], m)
+                pair = np.stack([self.item[e], word - self.first[e], word])
+                if pieced:
+                    pair = pair[:, self.near(h, rows, pair[0], pair[1], np.searchsorted(rows, word, "right") - 1)]
+                if pair.shape[1]:
+                    pairs.append(pair)
         if not pairs:
             return out
         item, place, word = np.concatenate(pairs, axis=1)

@@ -59,6 +59,28 @@ def test_recall_and_precision(spark):
     assert clean == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def held(items, texts):
+    """The items that each text holds, without Spark."""
+    raw = [t.encode() for t in texts]
+    out = dc.Items(list(range(len(items))), items).leaks(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+    return [{i: e for i, e, _, _ in hits} for hits in out]
+
+
+def test_every_length_at_the_allowed_edits():
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(5000)}"
+    for n in [*range(5, 41), 50, 63, 64, 100]:
+        items = [[word() for _ in range(n)] for _ in range(20)]
+        texts = []
+        for it in items:
+            ws = list(it)
+            for k in rng.sample(range(n), n * 20 // 100):
+                ws[k] = "other"
+            texts += [[word(), *ws, word()], [word(), *change(rng, it, n * 20 // 100), word()], [word(), *change(rng, it, n * 20 // 100 + 1), word()]]
+        want = [{i: e for i, it in enumerate(items) if (e := edits(it, ws)) <= n * 20 // 100} for ws in texts]
+        assert held([" ".join(x) for x in items], [" ".join(x) for x in texts]) == want, n
+
+
 def test_nearest_place():
     t = np.arange(1, 30, dtype=np.uint64)
     assert dc.nearest(t[5:12], t) == (0, 5, 12)
