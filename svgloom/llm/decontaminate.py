@@ -1,7 +1,8 @@
 """Benchmark decontamination by CGK embeddings, bit sampling and exact edit verification.
 
 Texts and items are sequences of words (maximal runs of letters, digits and bytes
-above 127; A-Z lower-cased; punctuation separates). A document is contaminated by an item of n words if some
+above 127; A-Z lower-cased; punctuation separates; in scripts that put no spaces between words
+each character is a word, and CJK punctuation separates, too). A document is contaminated by an item of n words if some
 stretch of it is within floor(n * EDITS_PERCENT / 100) word edits of the whole item.
 
 The random walk of the CGK embedding goes over the item-sized window at each word of a
@@ -21,8 +22,8 @@ Colliding windows are confirmed by the exact edit distance of the item to the te
 around the window (semi-global, in words).
 
 Items go to the tasks in blocks of bounded size; each block sees all documents, and documents
-are never shuffled. Items under ``LEAST_WORDS`` words are not searched for: so short a
-phrase is no leak. Null or empty text is clean. Null item text is no item. Repeated rows each
+are never shuffled. Items under five words allow no edit: their one piece is the
+whole item, and the first place of it in a text is told. Items without any word are none. Null or empty text is clean. Null item text is no item. Repeated rows each
 get their row, empty tables empty results, other columns pass through.
 """
 
@@ -44,7 +45,6 @@ STEPS = 12
 SAMPLED = 6
 #: Items of fewer words are also searched for by their pieces.
 PIECED = 64
-LEAST_WORDS = 5
 #: Bounds of a block of items: rows and bytes of text.
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 8 << 20
@@ -68,6 +68,32 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return span_hashes(clean, starts, ends, _RANDOMS) | np.uint64(1), starts, ends, rows
 
 
+# Code points [from, to) of scripts without spaces between words, and of CJK punctuation.
+_CHARACTERS = np.array([0x0E00, 0x10A0, 0x1780, 0x1800, 0x1950, 0x1AB0, 0x2E80, 0x3000, 0x3005, 0x3008, 0x3021, 0x3030, 0x3031, 0x303D, 0x3040, 0x30FB, 0x30FC, 0x3130, 0x31A0, 0x3200, 0x3400, 0x4DC0, 0x4E00, 0xA4D0, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1AFF0, 0x1B300, 0x20000, 0x40000])
+_PUNCTUATION = np.array([0x3000, 0x3005, 0x3008, 0x3021, 0x3030, 0x3031, 0x303D, 0x3040, 0x30FB, 0x30FC, 0xFE10, 0xFE20, 0xFE30, 0xFE50, 0xFF00, 0xFF10, 0xFF1A, 0xFF21, 0xFF3B, 0xFF41, 0xFF5B, 0xFF66])
+
+
+def item_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, with each character of a script without spaces as a word."""
+    lead = np.flatnonzero(data >= 0xE0)
+    if not len(lead):
+        return word_hashes(data, offs)
+    clean = lower(_SEPARATOR[data])
+    b = [data.take(lead + k, mode="clip").astype(np.int64) & 63 for k in range(4)]
+    long = data[lead] >= 0xF0
+    point = np.where(long, (b[0] & 7) << 18 | b[1] << 12 | b[2] << 6 | b[3], (b[0] & 15) << 12 | b[1] << 6 | b[2])
+    blank = np.searchsorted(_PUNCTUATION, point, "right") % 2 == 1
+    for k in range(3):
+        clean[np.minimum(lead[blank] + k, len(data) - 1)] = 32
+    single = np.searchsorted(_CHARACTERS, point, "right") % 2 == 1
+    starts, ends, _ = words(clean, offs)
+    cut = np.concatenate([lead[single], (lead + 3 + long)[single]])
+    cut = cut[cut < len(data)]
+    cut = np.unique(np.concatenate([starts, cut[clean[cut] != 32]]))
+    ends = np.minimum(ends[np.searchsorted(starts, cut, "right") - 1], np.append(cut[1:], len(data)))
+    return span_hashes(clean, cut, ends, _RANDOMS) | np.uint64(1), cut, ends, np.searchsorted(cut, offs)
+
+
 def padded(h: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words with STEPS blanks after each text, and where each word now stands."""
     n = len(rows) - 1
@@ -105,12 +131,13 @@ class Items:
         raw = [t.encode("utf-8", "replace") for t in texts]
         data = np.frombuffer(b"".join(raw), np.uint8)
         offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        h, _, _, rows = word_hashes(data, offs)
+        h, _, _, rows = item_words(data, offs)
         self.ids = ids
         self.words = [h[a:b] for a, b in zip(rows[:-1], rows[1:])]
         line, at = padded(h, rows)
         found, self.families = [], []
         size = np.diff(rows)
+        self.allowed = size * EDITS_PERCENT // 100
         if (size >= STEPS).any():
             item = np.concatenate([np.full(size[k] - STEPS + 1, k) for k in np.flatnonzero(size >= STEPS)])
             first = np.concatenate([np.arange(size[k] - STEPS + 1) for k in np.flatnonzero(size >= STEPS)])
@@ -118,7 +145,7 @@ class Items:
                 self.families.append((walk, STEPS, _SAMPLES[walk]))
                 found.append((keys(line, at[rows[item] + first], walk, STEPS, _SAMPLES[walk]), item, first))
         cuts: dict[int, list[tuple[int, int]]] = {}
-        for k in np.flatnonzero((size >= LEAST_WORDS) & (size < PIECED)).tolist():
+        for k in np.flatnonzero((size > 0) & (size < PIECED)).tolist():
             n = int(size[k])
             count = n * EDITS_PERCENT // 100 + 1
             for a, b in ((n * c // count, n * (c + 1) // count) for c in range(count)):
@@ -157,7 +184,7 @@ class Items:
     def leaks(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item number, edits, first byte, end byte) of the items that it holds, the best place of each."""
         out: list[list] = [[] for _ in range(len(offs) - 1)]
-        h, starts, ends, rows = word_hashes(data, offs)
+        h, starts, ends, rows = item_words(data, offs)
         if not len(h) or not len(self.keys):
             return out
         line, at = padded(h, rows)
@@ -183,6 +210,9 @@ class Items:
         item, place, word = np.concatenate(pairs, axis=1)
         row = np.searchsorted(rows, word, "right") - 1
         found = np.unique(np.stack([row, item, place], axis=1), axis=0)
+        # an item that allows no edit: its first place is as good as any
+        again = np.concatenate([[False], (np.diff(found[:, :2], axis=0) == 0).all(axis=1)])
+        found = found[~(again & (self.allowed[found[:, 1]] == 0))]
         k = 0
         while k < len(found):
             r, i, first = found[k].tolist()

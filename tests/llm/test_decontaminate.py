@@ -81,6 +81,14 @@ def test_every_length_at_the_allowed_edits():
         assert held([" ".join(x) for x in items], [" ".join(x) for x in texts]) == want, n
 
 
+def test_short_items_and_scripts_without_spaces():
+    items = ["too short", "Paris", "one two, three four", "", "!!", "東京は日本の首都です。", "เมืองหลวงของประเทศไทย", "水"]
+    texts = ["Much TOO-short, too short!", "too very short", "paris in spring", "one two three four", "one two three", "昔から、東京は日本の首都です。人口は多い", "昔から東京は日本のxx首都です", "x", "ประเทศเมืองหลวงของประเทศไทยครับ", "火と水", "parisian", "東京"]
+    assert held(items, texts) == [{0: 0}, {}, {1: 0}, {2: 0}, {}, {5: 0}, {5: 1}, {}, {6: 0}, {7: 0}, {}, {}]
+    h, a, b, rows = dc.item_words(raw := np.frombuffer("Ab 東京、c한국".encode(), np.uint8), np.array([0, 6, len(raw)]))
+    assert [raw[x:y].tobytes().decode() for x, y in zip(a, b)] == ["Ab", "東", "京", "c한국"] and rows.tolist() == [0, 2, 4]
+
+
 def test_nearest_place():
     t = np.arange(1, 30, dtype=np.uint64)
     assert dc.nearest(t[5:12], t) == (0, 5, 12)
