@@ -1,14 +1,17 @@
 """License scan by a trained paragraph classifier, confirmed by template comparison.
 
-A paragraph is a line of text; one of more than ``WINDOW`` words is read in overlapping
-windows of that many. Its features are hashed word 1- to 3-grams (letters and digits, A-Z
+Read are lines of text and, for notices wrapped over lines, paragraphs: consecutive lines
+that hold words. What has more than ``WINDOW`` words is read in overlapping
+windows of that many, and also in windows of half as many, in which a short notice stands out. The features are hashed word 1- to 3-grams (letters and digits, A-Z
 lower-cased); a multinomial logistic regression, trained by stochastic gradient
 descent in numpy, gives a probability to each license family and to a class of unknown
 text. Training paragraphs are made from the notices below (set in other text, with words
 lost or replaced), from sentences that speak of licenses without granting one, and from
 lines of at most ``NEGATIVE_ROWS`` documents; every fifth is held back to calibrate a temperature and the
-probability under which a paragraph counts as unknown. A predicted family stands only if the
-paragraph holds ``CONFIRMED`` of the word 1- and 2-grams of one of that family's notices.
+probability under which a paragraph counts as unknown. A family that is probable against unknown text
+stands only if what is read holds ``CONFIRMED`` of the word 1- and 2-grams of one of that family's
+notices. Of several the most similar is taken, and the words before and after its notice are
+read again by themselves, so that each notice counts. A finding bears the number of the line that its notice begins on.
 
 Whole texts are scanned. Null or empty text: no families. Repeated and null ids keep their rows; an
 empty table gives an empty result.
@@ -47,10 +50,10 @@ _PLACE = np.random.default_rng(61).integers(1, 2**62, ORDERS, dtype=np.uint64) *
 NOTICES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 license.", "SPDX-License-Identifier: Apache-2.0"),
     "MIT": ("Released under the MIT License.", "Licensed under the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "SPDX-License-Identifier: GPL-3.0"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.", "SPDX-License-Identifier: GPL-2.0"),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.", "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: LGPL-2.1"),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0"),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0"),
+    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or any later version.", "Licensed under the GNU General Public License v2.0", "SPDX-License-Identifier: GPL-2.0"),
+    "LGPL": ("This library is licensed under the GNU Lesser General Public License.", "You can redistribute it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.", "Licensed under the GNU Lesser General Public License v2.1", "Licensed under the GNU Lesser General Public License v3.0", "SPDX-License-Identifier: LGPL-2.1"),
+    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "Licensed under the GNU Affero General Public License v3.0", "SPDX-License-Identifier: AGPL-3.0"),
     "BSD": ("Licensed under the BSD 3-Clause License.", "Released under the BSD license.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "SPDX-License-Identifier: BSD-3-Clause"),
     "MPL-2.0": ("Licensed under the Mozilla Public License, version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "ISC": ("Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "SPDX-License-Identifier: ISC"),
@@ -120,6 +123,35 @@ class Scanner:
         mine = self._set(h)
         return max(len(np.intersect1d(n, mine, assume_unique=True)) / len(n) for n in self.notices[family])
 
+    def probabilities(self, totals: list[np.ndarray], first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of each class, for the words [first, last)."""
+        z, n = np.zeros((len(first), self.weights.shape[1])), np.zeros(len(first))
+        for order, total in enumerate(totals, 1):
+            end = np.maximum(last - order + 1, first)
+            inside = end > first
+            z[inside] += total[end[inside]] - total[first[inside]]
+            n += end - first
+        return _softmax((z / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.temperature)
+
+    def probable(self, p: np.ndarray) -> np.ndarray:
+        """Families that are probable against unknown text, whatever the others."""
+        return p[:, :-1] >= self.least * (p[:, :-1] + p[:, -1:])
+
+    def place(self, h: np.ndarray, family: int) -> tuple[int, int]:
+        """Where the family's most similar notice stands in the words."""
+        mine = self._set(h)
+        notice = max(self.notices[family], key=lambda n: len(np.intersect1d(n, mine, assume_unique=True)) / len(n)).tolist()
+        one = [g if g in notice else 0 for g in grams(h, 1).tolist()]
+        two = [g if g in notice else 0 for g in grams(h, 2).tolist()]
+        best = (0.0, 0, 1)
+        for a in range(len(h)):
+            seen: set[int] = set()
+            for b in range(a, min(len(h), a + len(notice)) if one[a] else a):
+                seen |= {one[b], two[b - 1] if b > a else 0}
+                # a word that adds nothing costs half a gram
+                best = max(best, (len(seen - {0}) - (b - a) / 2, -a, b + 1))
+        return -best[1], best[2]
+
     def found(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, float, float]]:
         """(row, paragraph, family number, probability, similarity) of each paragraph with a license, of whole texts."""
         h, starts, _, rows = word_hashes(data, offs)
@@ -130,32 +162,54 @@ class Scanner:
         row = np.searchsorted(rows, np.arange(len(h)), "right") - 1
         first = np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(row) != 0)]))
         last = np.append(first[1:], len(h))
-        long = last - first > WINDOW
-        if long.any():
-            more = [np.arange(a, b - WINDOW // 2, WINDOW // 2) for a, b in zip(first[long], last[long])]
-            ends = [np.minimum(x + WINDOW, b) for x, b in zip(more, last[long])]
-            first, last = np.concatenate([first[~long], *more]), np.concatenate([last[~long], *ends])
-        z, n = np.zeros((len(first), self.weights.shape[1])), np.zeros(len(first))
+        # paragraphs of more than one line: their first lines, each with the end of the last
+        starting = np.concatenate([[True], (np.diff(line[first]) != 1) | (np.diff(row[first]) != 0)])
+        whole = np.append(last[:-1][starting[1:]], len(h))
+        wrapped = whole > last[starting]
+        units = [_windows(first, last), _windows(first[starting][wrapped], whole[wrapped])]
+        totals = []
         for order in range(1, ORDERS + 1):
             total = np.zeros((max(0, len(h) - order + 1) + 1, self.weights.shape[1]))
             np.cumsum(self.weights[(grams(h, order) >> np.uint64(64 - BITS)).astype(np.int64)], axis=0, dtype=np.float64, out=total[1:])
-            end = np.maximum(last - order + 1, first)
-            inside = end > first
-            z[inside] += total[end[inside]] - total[first[inside]]
-            n += end - first
-        p = _softmax((z / np.sqrt(np.maximum(n, 1))[:, None] + self.bias) / self.temperature)
-        best = p.argmax(axis=1)
+            totals.append(total)
+        finds = []
+        for first, last in units:
+            p = self.probabilities(totals, first, last)
+            todo = [(int(first[k]), int(last[k]), p[k]) for k in np.flatnonzero(self.probable(p).any(axis=1)).tolist()]
+            while todo:
+                a, b, q = todo.pop()
+                same = {f: self.similarity(h[a:b], f) for f in np.flatnonzero(self.probable(q[None])[0]).tolist()}
+                f = max(same, key=lambda f: (same[f], q[f]), default=-1)
+                if f < 0 or same[f] < CONFIRMED:
+                    continue
+                x, y = self.place(h[a:b], f)
+                finds.append((same[f], float(q[f]), a + x, a + y, f))
+                rest = [(c, d) for c, d in ((a, a + x), (a + y, b)) if c < d]
+                if rest:
+                    todo += [(*z, q) for z, q in zip(rest, self.probabilities(totals, *np.array(rest).T))]
+        # one family for each stretch: of finds that overlap the most similar
         out: dict[tuple[int, int, int], tuple[float, float]] = {}
-        for k in np.flatnonzero((best < len(self.families)) & (p.max(axis=1) >= self.least)).tolist():
-            f = int(best[k])
-            same = self.similarity(h[first[k] : last[k]], f)
-            if same >= CONFIRMED:
-                r = int(row[first[k]])
-                at = (r, int(line[first[k]] - np.searchsorted(lines, offs[r])), f)
-                out[at] = max(out.get(at, (0.0, 0.0)), (float(p[k, f]), same))
+        taken = np.zeros(len(h), bool)
+        for same, q, x, y, f in sorted(finds, key=lambda z: (-z[0], z[2] - z[3], -z[1])):
+            if not taken[x:y].any():
+                taken[x:y] = True
+                r = int(row[x])
+                at = (r, int(line[x] - np.searchsorted(lines, offs[r])), f)
+                out[at] = max(out.get(at, (0.0, 0.0)), (q, same))
         return sorted((*k, *v) for k, v in out.items())
 
 
+def _windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches, the long ones in overlapping windows, and all in windows of half the size, where a short notice stands out."""
+    size = last - first
+    firsts, lasts = [first[size <= WINDOW]], [last[size <= WINDOW]]
+    for width, step in ((WINDOW, WINDOW // 2), (WINDOW // 2, WINDOW // 6)):
+        for a, b in zip(first[size > width].tolist(), last[size > width].tolist()):
+            firsts.append(np.arange(a, b - width + step, step))
+            lasts.append(np.minimum(firsts[-1] + width, b))
+    return np.concatenate(firsts), np.concatenate(lasts)
+
+
 def fit(negatives: list[str], seed: int = 3) -> Scanner:
     """Train and calibrate on the notices and on lines that are taken for unlicensed text, but for those that hold a notice."""
     rng = np.random.default_rng(seed)

@@ -42,6 +42,47 @@ def test_every_license_line_of_the_corpus_and_no_other(spark):
     assert got == want and any(want.values())
 
 
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell""",
+    "GPL-3.0": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.""",
+    "GPL-2.0": """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License
+# as published by the Free Software Foundation; either version 2
+# of the License, or (at your option) any later version.""",
+    "LGPL": """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by the Free Software Foundation; either
+// version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+}
+
+
+def test_wrapped_headers_and_several_notices(spark):
+    s = ls.train(table(spark, SF, "documents"))
+    filler = "it of the thion onre erblest hein ti inenan eranenes whou " * 12
+    for f, text in WRAPPED.items():
+        got = scan_texts(s, [text, filler + "\n" + text + "\n" + filler, text + "\n\n" + filler])
+        assert [{x for _, x in g} for g in got] == [{f}] * 3, (f, got)
+    assert scan_texts(s, ["Licensed under the GNU General Public License v3.0", "Licensed under the GNU Lesser General Public License v2.1"]) == [{(0, "GPL-3.0")}, {(0, "LGPL")}]
+    both = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert scan_texts(s, [both, "x\n" + both.replace("Version", "\nVersion")]) == [{(0, "Apache-2.0"), (0, "MIT")}, {(1, "Apache-2.0"), (2, "MIT")}]
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (None, "Released under the MIT License.", 2), (1, "", 3), (2, "a " * 200_000 + "\nAll rights reserved.", 4)], "doc_id long, text string, families int")
     s = ls.train(docs)
