@@ -3,7 +3,7 @@
 A tokenizer and a tree builder with implied tags (a paragraph ends where a block begins,
 list items, table parts, options and definition terms end their like, rows and cells
 are made where they are missing, stray end tags are ignored) give a tree; what is not
-displayed (head, scripts, styles, templates, ``hidden``, ``display:none``,
+displayed (the fallback of audio, video and canvas; title, desc, defs and metadata of svg and annotations of MathML; head, scripts, styles, templates, ``hidden``, ``display:none``,
 ``visibility:hidden`` with visible parts inside) is left out; all other text is rendered: white space
 collapses except in preformatted text, blocks stand on lines of their own, paragraphs and
 the like between blank lines, list items behind bullets or numbers with their lines
@@ -33,7 +33,11 @@ from .common import table
 # Element names as HTML defines them.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-_UNSEEN = frozenset("head script style template title meta link base noscript iframe noembed noframes datalist object audio video canvas svg math map".split())
+_UNSEEN = frozenset("head script style template title meta link base noscript iframe noembed noframes datalist audio video canvas".split())
+# seen nowhere inside of svg and math; elsewhere they are unknown elements
+_UNSEEN_FOREIGN = frozenset("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+# set apart from their like by place only
+_APART = frozenset("text mtd".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
 _SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul xmp".split())
@@ -128,6 +132,14 @@ def parse(html: str) -> Node:
             close({"td", "th"}, frozenset(("tr", "table")))
             if stack[-1].tag in ("table", *_ROWS):
                 push(Node("tr"))
+        if counts.get("svg") or counts.get("math"):
+            if tag in _UNSEEN_FOREIGN:
+                attrs = "hidden" + "/" * attrs.endswith("/")
+            elif tag in _APART:
+                stack[-1].children.append(" ")
+            if attrs.endswith("/"):
+                stack[-1].children.append(Node(tag, attrs))
+                return
         if tag in _VOID:
             stack[-1].children.append(Node(tag, attrs))
         else:

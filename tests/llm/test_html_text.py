@@ -22,6 +22,13 @@ def test_visibility():
     assert t("<template>no</template><noscript>no</noscript><textarea>in</textarea><input type=hidden value=no><input value='v'>") == "in v"
 
 
+def test_foreign_and_embedded():
+    assert t("a<svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>one</text><path d='M0 0'/><text>two <tspan>three</tspan></text></svg>b") == "a one two threeb"
+    assert t("<p>x <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='TeX'>no</annotation></semantics></math> y") == "x E=m y"
+    assert t("<svg><defs/><title/><text>seen</text></svg><desc>known nowhere</desc>") == "seenknown nowhere"
+    assert t("<object data=x><p>fallback</object><map name=m><area alt=no>in map</map>") == "fallback\n\nin map"
+
+
 def test_lists():
     assert t("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>") == "- a\n- b\n\n  - c\n- d"
     assert t("<ol start=3><li>a<li value=7>b<li><p>c<p>d</ol>e") == "3. a\n7. b\n8. c\n\n   d\n\ne"
