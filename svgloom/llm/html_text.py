@@ -254,21 +254,38 @@ def _number(value: str | None, other: int) -> int:
         return other
 
 
-def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells (lines and columns covered) padded to the width of their columns."""
+def _rows_covered(value: str | None) -> int:
+    """Of a cell; zero is all to the end of the group."""
+    rows = _number(value, 1)
+    return 65534 if rows == 0 else max(1, min(65534, rows))
+
+
+def _grid(rows: list[list[tuple[list[str], int, int]]], groups: set[int]) -> list[str]:
+    """Cells (lines, columns and rows covered) padded to the width of their columns; cells from above cover rows of their group only."""
+    placed: list[list[tuple[int, list[str], int]]] = []
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
+    busy: dict[int, int] = {}
+    for k, row in enumerate(rows):
+        if k in groups:
+            busy.clear()
+        cells, at = [], 0
+        for lines, span, down in row:
+            first = at
+            while busy.get(at, 0) > k:
+                at += 1
+            if at > first:
+                cells.append((first, [], at - first))
             if span == 1:
                 widths[at] = max(widths.get(at, 0), max(map(len, lines), default=0))
+            cells.append((at, lines, span))
+            if down > 1:
+                busy.update(dict.fromkeys(range(at, at + span), k + down))
             at += span
+        if any(x for x, _, _ in row):
+            placed.append(cells)
     out = []
-    for row in rows:
-        cells, at = [], 0
-        for lines, span in row:
-            cells.append((lines, sum(widths.get(at + k, 0) for k in range(span)) + 3 * (span - 1)))
-            at += span
+    for row in placed:
+        cells = [(lines, sum(widths.get(at + k, 0) for k in range(span)) + 3 * (span - 1)) for at, lines, span in row]
         for k in range(max((len(x) for x, _ in cells), default=0)):
             out.append(" | ".join((x[k] if k < len(x) else "").ljust(w) for x, w in cells).rstrip())
     return out
@@ -325,7 +342,7 @@ def render(root: Node) -> str:
                 flow.end_line()
                 keeps: object = None
                 if tag == "table":
-                    keeps = {"rows": [], "captions": []}
+                    keeps = {"rows": [], "captions": [], "groups": set()}
                 elif tag == "li":
                     counter = own if node.tag in ("ol", "ul", "menu") and isinstance(own, dict) else {"n": None}
                     if counter["n"] is not None:
@@ -343,6 +360,8 @@ def render(root: Node) -> str:
                 if tag in _BLOCK:
                     flow.end_line(gap=tag in _SPACED)
                 keeps = own if tag in ("tr", *_ROWS) else None
+                if tag in _ROWS and isinstance(own, dict) and "rows" in own:
+                    own["groups"].add(len(own["rows"]))
                 if tag == "tr" and isinstance(own, dict) and "rows" in own:
                     own["rows"].append([])
                 elif tag in ("ol", "ul", "menu"):
@@ -354,6 +373,8 @@ def render(root: Node) -> str:
             break
         outer, tag = stack[-1][2], node.tag
         if flow is outer:
+            if tag in _ROWS and isinstance(own, dict) and "rows" in own:
+                own["groups"].add(len(own["rows"]))
             if tag in _BLOCK:
                 flow.end_line(gap=tag in _SPACED)
             continue
@@ -369,7 +390,7 @@ def render(root: Node) -> str:
             outer.block(["    " + x if x else "" for x in lines], tag == "blockquote")
         elif tag in ("td", "th"):
             if isinstance(own, dict) and "rows" in own and own["rows"]:
-                own["rows"][-1].append((lines, max(1, min(1000, _number(node.get("colspan"), 1)))))
+                own["rows"][-1].append((lines, max(1, min(1000, _number(node.get("colspan"), 1))), _rows_covered(node.get("rowspan"))))
             else:
                 outer.block(lines, False)
         elif tag == "caption":
@@ -381,7 +402,7 @@ def render(root: Node) -> str:
             outer.gap = True
             outer.block(lines, False)
             outer.block(own["captions"], False)
-            outer.block(_grid([r for r in own["rows"] if any(x for x, _ in r)]), False)
+            outer.block(_grid(own["rows"], own["groups"]), False)
             outer.gap = True
     top.end_line()
     return "\n".join(_trimmed(top.lines))

@@ -41,6 +41,13 @@ def test_tables():
     assert t("<table><tr><td><table><tr><td>in<td>ner</table><td>o</table>") == "in | ner | o"
 
 
+def test_cells_that_cover_rows():
+    assert t("<table><tr><td rowspan=2>aa<td>b<tr><td>c<tr><td>d<td>e</table>") == "aa | b\n   | c\nd  | e"
+    assert t("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "a | b | c\nd |   | e\nf |   | g"
+    assert t("<table><thead><tr><th rowspan=9>h<th>i<tbody><tr><td>a<td>b</table>") == "h | i\na | b"
+    assert t("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tr><td>c<td>d</table>") == "a | b\nc | d"
+
+
 def test_odd_pages():
     for html in ("", "<", "<a", "</", "<!--", "<p", "<a b='", '<a b="' * 50, "</p>", "<![CDATA[x]]>", "<td>x", "<tr><li></table></ul>", "<script>", "<title>a"):
         assert isinstance(t(html), str)
