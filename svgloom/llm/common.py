@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -125,15 +125,74 @@ def among(*values: int) -> np.ndarray:
     return out
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, randoms: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """A number for each byte span, equal for equal bytes, and the bytes of each number."""
+class SpanMemory:
+    """Rows of numbers by the 64-bit hash of a byte span, in arrays within a bound of bytes.
+
+    Beyond the bound, what was not asked for since the last clearing goes.
+    """
+
+    def __init__(self, kind: type, most_bytes: int) -> None:
+        self.kind, self.most = kind, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.values = np.zeros(0, bool), np.zeros(0, self.kind)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.begin, self.size, self.used, self.values))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is unknown. Places hold until the next ``add`` or ``shrink``."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        at[self.keys[at] != h] = -1
+        self.used[at[at >= 0]] = True
+        return at
+
+    def add(self, h: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+        """Rows of distinct unknown hashes; ``values`` holds them one after the other."""
+        order = np.argsort(h)
+        at = np.searchsorted(self.keys, h[order])
+        begin = len(self.values) + np.cumsum(size) - size
+        self.keys = np.insert(self.keys, at, h[order])
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.size = np.insert(self.size, at, size[order])
+        self.used = np.insert(self.used, at, True)
+        self.values = np.concatenate([self.values, values.astype(self.kind, copy=False)])
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and values of the rows at these places, one after the other."""
+        size = self.size[at]
+        return size, self.values[ranges(self.begin[at], size)]
+
+    def shrink(self) -> None:
+        if self.nbytes <= self.most:
+            return
+        kept = np.flatnonzero(self.used)
+        if self.size[kept].sum() * self.values.itemsize + 25 * len(kept) > self.most // 2:
+            kept = kept[:0]
+        size, values = self.rows(kept)
+        self.keys, self.begin, self.size = self.keys[kept], np.cumsum(size) - size, size
+        self.used, self.values = np.zeros(len(kept), bool), values
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... (size[0] of them), begin[1], ..."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, randoms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte span, equal for equal bytes, the hash of each number, and a span of each number."""
     import pandas as pd
 
     codes, found = pd.factorize(span_hashes(data, starts, ends, randoms))
     first = np.empty(len(found), np.int64)
     first[codes[::-1]] = np.arange(len(codes))[::-1]
-    raw = data.tobytes()
-    return codes, [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+    return codes, np.asarray(found, np.uint64), first
 
 
 def lower(data: np.ndarray) -> np.ndarray:
@@ -141,23 +200,6 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def decoded(column: pa.Array) -> list[str]:
-    """Texts as Python strings; null is empty, bytes that are not UTF-8 become U+FFFD."""
-    data, offs = views(column)
-    raw = data.tobytes()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())]
-
-
-def sized(column: pa.Array, most: int = CHUNK_BYTES) -> Iterable[tuple[int, int]]:
-    """Row ranges of a text column with about ``most`` bytes each."""
-    _, offs = views(column)
-    a, n = 0, len(offs) - 1
-    while a < n:
-        b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
-        yield a, b
-        a = b
-
-
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; SVGLOOM_TOKENIZERS overrides the installed folder."""
     folder = os.environ.get("SVGLOOM_TOKENIZERS")

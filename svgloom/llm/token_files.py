@@ -11,17 +11,20 @@ them, and the high bits of the others follow in an exception list. ``starts`` gi
 each block's first byte, so that any block can be decoded alone.
 
 Null ids sort first and keep their rows, null text counts as empty (only the end id is
-written), repeated rows are all kept, an empty table makes no files and an empty result.
+written), repeated rows are all kept; rows of one id stand in the order of a hash of
+their text, so that starts are the same in every run. An empty table makes no files and an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from svgloom.session import new_folder
 
-from .common import among, byte_randoms, distinct_spans, narrow, pieces, tokenizer_path, words
+from .common import SpanMemory, among, byte_randoms, distinct_spans, lower, narrow, pieces, ranges, tokenizer_path, words
 
 BLOCK = 128
 #: Share of a block's differences that the packed width must cover.
@@ -41,11 +44,14 @@ PERCENTILE = 0.9
 FRAME_IDS = 1 << 20
 #: Bytes of text whose words are looked up together.
 STEP_BYTES = 6 << 20
-#: Words, and parts of words, that a worker remembers with their ids, in each of two generations.
-REMEMBERED_WORDS = 350_000
-REMEMBERED_PARTS = 400_000
+#: Bytes that a worker remembers of spans of text and their ids.
+REMEMBERED_BYTES = 64 << 20
 #: Fixed value: stops that may end a word.
 _STOPS = ".,;:!?"
+_STOP = among(*_STOPS.encode())
+_LETTER = among(*range(65, 91), *range(97, 123))
+#: Fixed value: how a vocabulary must split words for the cuts to hold.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Fixed value: the white space that words are cut at.
 _CUTS = among(0x20, 0x0A)
 _RANDOMS = byte_randoms(71)
@@ -157,73 +163,79 @@ def read_frames(source) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarr
         yield docs, lengths.astype(np.int64), unpack_blocks(n, low, width, count, starts, payload)
 
 
+def _cuts_hold(settings: dict) -> bool:
+    """Whether a vocabulary drops white space, splits letters from stops and treats words one by one."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    first = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+        and first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+        and first["pattern"].get("Regex") == _PATTERN
+        and settings.get("post_processor") is None
+        and not any(re.search(rf"\s|[{_STOPS}]", t["content"]) for t in settings.get("added_tokens") or [])
+    )
+
+
 class WordEncoder:
     """Ids of texts.
 
     The vocabulary drops white space and never merges across it, so a text's ids are
     those of its words (cut at spaces and line feeds only) in a row. Nor does it merge a
-    letter with the stop that ends a word, and it lower-cases: so words are taken
-    apart, and each distinct part goes through the library once. Words and
-    parts are remembered up to bounds.
+    letter with the stops that end a word, and it lower-cases: stops after an ASCII letter or
+    one of U+00E0 to U+00FF are spans by themselves, and each distinct span goes through the
+    library once. The ids of spans are remembered within a bound of bytes. With a
+    vocabulary for which this is not so, whole texts go through the library.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # each with an older generation: what is asked for again moves to the younger one
-        self.known: dict[bytes, bytes] = {}
-        self.known_before: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.parts_before: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.by_span = _cuts_hold(json.load(f))
+        self.memory = SpanMemory(np.uint32, remembered)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
 
     @staticmethod
-    def _apart(word: str) -> tuple[str, str]:
-        core = word.rstrip(_STOPS)
-        if not core or not core[-1].isalpha():
-            core = word
-        return (core.lower() if core.isascii() else core), word[len(core) :]
-
-    def _learn(self, new: list[bytes]) -> None:
-        apart = [self._apart(w.decode("utf-8", "replace")) for w in new]
-        if len(self.parts) > REMEMBERED_PARTS:
-            self.parts, self.parts_before = {"": b""}, self.parts
-        parts, before = self.parts, self.parts_before
-        fresh = {x for pair in apart for x in pair} - parts.keys()
-        again = fresh & before.keys()
-        parts.update([(x, before[x]) for x in again])
-        fresh = list(fresh - again)
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            parts[x] = array("I", e.ids).tobytes()
-        self.known.update(zip(new, [parts[a] + parts[b] for a, b in apart]))
-        for x in fresh:
-            if len(x) > 64:
-                del parts[x]
+    def _spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text with words of ASCII bytes in lower case, starts and ends of spans, and the first span of each row."""
+        starts, ends, _ = words(data, offs, _CUTS)
+        plain = lower(data)
+        if (data > 127).any():
+            high = np.concatenate([[0], np.cumsum(data > 127, dtype=np.int32)])
+            whose = np.flatnonzero(high[ends] != high[starts])
+            as_is = ranges(starts[whose], ends[whose] - starts[whose])
+            plain[as_is] = data[as_is]
+        solid = np.maximum.accumulate(np.where(_STOP[data], 0, np.arange(1, len(data) + 1, dtype=np.int32))) if len(data) else np.zeros(0, np.int32)
+        core = solid[ends - 1].astype(np.int64)  # the end of what stands before a word's last stops
+        parted = np.flatnonzero((core > starts) & (core < ends))
+        at = core[parted]
+        last, before = data[at - 1], data[at - 2]
+        letter = _LETTER[last] | ((before == 0xC3) & (last >= 0xA0) & (last <= 0xBF) & (last != 0xB7))
+        at = at[letter]
+        starts, ends = np.sort(np.concatenate([starts, at])), np.sort(np.concatenate([ends, at]))
+        return plain, starts, ends, np.searchsorted(starts, offs)
 
     def __call__(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, its end id included, and all ids in a row."""
-        starts, ends, rows = words(data, offs, _CUTS)
-        codes, distinct = distinct_spans(data, starts, ends, _RANDOMS)
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known, self.known_before = {}, self.known
-        before = self.known_before
-        new = [w for w in distinct if w not in self.known]
-        self.known.update([(w, before[w]) for w in new if w in before])
-        new = [w for w in new if w not in before]
-        if new:
-            self._learn(new)
-        coded = list(map(self.known.__getitem__, distinct))
-        for w in new:
-            if len(w) > 64:
-                del self.known[w]
-        flat = np.frombuffer(b"".join(coded), "<u4")
-        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        begin = np.cumsum(size) - size
-        count = size[codes]
-        total = np.concatenate([[0], np.cumsum(count)])
-        ids = flat[np.repeat(begin[codes] - total[:-1], count) + np.arange(total[-1])] if len(codes) else flat[:0]
-        lengths = np.diff(total[rows])
+        if self.by_span:
+            self.memory.shrink()
+            plain, starts, ends, rows = self._spans(data, offs)
+            codes, h, first = distinct_spans(plain, starts, ends, _RANDOMS)
+            new = np.flatnonzero(self.memory.find(h) < 0)
+            if len(new):
+                raw, some = plain.tobytes(), first[new]
+                self.memory.add(h[new], *self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[some].tolist(), ends[some].tolist())]))
+            count, ids = self.memory.rows(self.memory.find(h)[codes])
+            lengths = np.diff(np.concatenate([[0], np.cumsum(count)])[rows])
+        else:
+            raw = data.tobytes()
+            lengths, ids = self._encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())])
         out = np.full(len(ids) + len(lengths), end_id, np.uint32)
         out[np.arange(len(ids)) + np.repeat(np.arange(len(lengths)), lengths)] = ids
         return lengths + 1, out
@@ -287,7 +299,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n_docs], "n_ids": [total]})
 
-    ordered = narrow(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one id, and those without one, are many ranges if they are many rows
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ordered = narrow(docs).repartitionByRange(*order).sortWithinPartitions(*order)
     # one row for each range: as many as partitions, not as documents
     return sorted(tuple(r) for r in ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long").collect())
 
