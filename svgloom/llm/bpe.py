@@ -4,15 +4,15 @@ Each Python worker holds a DuckDB database with two tables made from the rank fi
 ``merges`` (every pair of tokens whose bytes together are a token) and ``vocab`` (id,
 bytes). A batch's distinct unseen words become token-position rows; a recursive query
 joins neighbours with ``merges`` and contracts, in every word and round, the leftmost
-pair of minimum rank until no word has a pair. Decoding joins ids with ``vocab`` and
-concatenates their bytes in an ordered aggregation. A worker remembers words and
-pieces of text (a word with its punctuation) with their ids and the bytes that these
-decode to, up to a bound.
+pair of minimum rank until no word has a pair. Decoding takes a document's ids, joins them
+with ``vocab`` and concatenates their bytes in an ordered aggregation. A worker remembers
+words and pieces of text (a word with the space before it, stops, a line feed) with
+their ids, within a bound of bytes.
 
 Words longer than ``LONG_WORD`` bytes take the same contraction in a loop of SQL
 steps: all occurrences of a word's minimum pair at once where no merge that the result
 takes part in has a lower rank (then that equals one by one), and only the leftmost
-otherwise, so that the state stays linear in the word.
+otherwise, so that the state stays linear in the word (a recursive query keeps every round).
 
 Texts are whole. Null text counts as empty: no ids, the hash of nothing. Null ids and
 repeated rows keep their rows; an empty table gives an empty result.
@@ -22,30 +22,38 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import tempfile
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import among, byte_randoms, distinct_spans, narrow, pieces, table, tokenizer_path, words
+from .common import SpanMemory, among, byte_randoms, distinct_spans, narrow, pieces, ranges, table, tokenizer_path
 
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
-#: Pieces of text that a worker remembers with their ids.
-REMEMBERED = 500_000
-#: Words that a worker remembers with their ids and bytes, in each of two generations.
-REMEMBERED_WORDS = 400_000
+#: Bytes that a worker remembers of pieces of text and their ids.
+REMEMBERED_BYTES = 64 << 20
+#: Bytes of text that are encoded together.
+STEP_BYTES = 3 << 20
 #: Words that one recursive query takes.
 WORDS_A_QUERY = 50_000
+#: Ids that one group of the ordered aggregation holds.
+DECODED_IDS = 1 << 15
 
-_SPACE = among(0x20)
 _RANDOMS = byte_randoms(31)
-# ASCII white space, and first and second bytes of all other white space in UTF-8.
-_WHITE = among(*range(0x09, 0x0E), 0x20)
-_MAYBE_WHITE = among(0xC2, 0xE1, 0xE2, 0xE3)
-_MAYBE_SECOND = among(0x80, 0x81, 0x85, 0x9A, 0xA0)
+# ASCII letters, stops, ASCII bytes that are neither control characters nor white space, and lead bytes of UTF-8.
+_LETTER = among(*range(65, 91), *range(97, 123))
+_STOP = among(*b".,;:!?")
+_VISIBLE = among(*range(0x21, 0x7F))
+_LEAD = among(*range(0xC3, 0xF5))
+#: Fixed value: lead and second byte of all white space above U+00A0 in UTF-8.
+_WHITE = [(0xE1, 0x9A), (0xE2, 0x80), (0xE2, 0x81), (0xE3, 0x80)]
+#: Fixed value: the pattern for which texts may be cut where ``cuts`` does.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _RECURSION = """
 WITH RECURSIVE s AS (
@@ -62,9 +70,7 @@ WITH RECURSIVE s AS (
      FROM n JOIN best ON n.w = best.w
      WHERE n.pos <> best.gone)
 )
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(raw, '' ORDER BY pos) AS raw
-FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) JOIN vocab ON vocab.id = tok
-GROUP BY w ORDER BY w
+SELECT w, tok FROM s JOIN (SELECT w, max(round) AS round FROM s GROUP BY w) USING (w, round) ORDER BY w, pos
 """
 
 _STEP = """
@@ -89,15 +95,10 @@ FROM n LEFT JOIN taken t ON n.w = t.w AND n.pos = t.pos
 WHERE NOT EXISTS (SELECT 1 FROM taken g WHERE g.w = n.w AND g.np = n.pos)
 """
 
-_LONG_ENDED = """
-SELECT w, string_agg(tok::VARCHAR, ',' ORDER BY pos) AS ids, string_agg(raw, '' ORDER BY pos) AS raw
-FROM long_words JOIN vocab ON vocab.id = tok GROUP BY w ORDER BY w
-"""
+_LONG_ENDED = "SELECT w, tok FROM long_words ORDER BY w, pos"
 
 _DECODE = """
-SELECT k, string_agg(raw, '' ORDER BY pos) AS raw
-FROM (SELECT k, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM coded) c JOIN vocab USING (id)
-GROUP BY k ORDER BY k
+SELECT k, string_agg(raw, '' ORDER BY pos) AS raw FROM coded JOIN vocab USING (id) GROUP BY k ORDER BY k
 """
 
 
@@ -107,18 +108,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """First bytes of pieces that the pattern never matches across.
+
+    A piece begins with a text, with a space before what is surely not white space, with a stop
+    after an ASCII letter, and with a line feed between visible characters and with what follows it.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    after = np.append(data[1:], np.uint8(32))
+    surely = _VISIBLE[after] | _LEAD[after]
+    wide = np.flatnonzero((after >= 0xE1) & (after <= 0xE3))
+    second = np.append(data, (np.uint8(0), np.uint8(0)))[wide + 2]
+    for lead, follows in _WHITE:
+        surely[wide[(after[wide] == lead) & (second == follows)]] = False
+    begins = np.zeros(n + 1, bool)
+    begins[offs] = True
+    surely &= ~begins[1:]
+    at = (data == 32) & surely
+    at[1:] |= _STOP[data[1:]] & _LETTER[data[:-1]]
+    feeds = np.flatnonzero((data[1:] == 10) & _VISIBLE[data[:-1]] & surely[1:]) + 1
+    at[feeds] = True
+    at[np.minimum(feeds + 1, n - 1)] = True
+    return np.flatnonzero(at | begins[:n])
+
+
 class DuckBpe:
     """Encoder and decoder over one in-process DuckDB database."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_WORDS) -> None:
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_BYTES) -> None:
         import duckdb
         import regex
 
         ranks = read_ranks(path)
-        self.most_words, self.most_pieces = remembered, remembered * REMEMBERED // REMEMBERED_WORDS
         self.split = regex.compile(pattern).findall
-        self.cut = regex.compile(r" (?=\S)").split
-        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "250MB", "temp_directory": tempfile.mkdtemp(prefix="bpe-"), "preserve_insertion_order": "false"})
+        self.cuts_hold = pattern == _PATTERN
+        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "200MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}"), "preserve_insertion_order": "false"})
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs = np.array(found, np.int64).reshape(-1, 3)
         self._register("p", pa.table({"pair": (pairs[:, 0] << 32) | pairs[:, 1], "a": pairs[:, 0], "b": pairs[:, 1], "made": pairs[:, 2].astype(np.int32)}))
@@ -127,35 +153,33 @@ class DuckBpe:
         # a byte stands as the character of its number, so that texts can be aggregated as strings
         self._register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        for name in ("p", "v"):
+            self.con.unregister(name)
         self.bytes_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.forget()
-
-    def forget(self) -> None:
-        # word: its ids, as decimals with commas, and the bytes that they decode to; what is asked for again moves to the younger generation
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.words_before: dict[str, tuple[str, bytes]] = {}
-        self.pieces: dict[bytes, tuple[str, bytes]] = {}  # the same of a piece of text, mostly a space with what follows it
+        self.memory = SpanMemory(np.int32, remembered)
+        self.decimals = Decimals(max(ranks.values()) + 1)
 
     def _register(self, name: str, t: pa.Table) -> None:
         self.con.register(name, t)
 
-    def encode_words(self, words: list[bytes]) -> list[tuple[str, bytes]]:
-        """Ids of each word, as decimals with commas, and the bytes that these ids decode to."""
-        out: list[tuple[str, bytes]] = [("", b"")] * len(words)
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each word (none may be empty), and all ids in a row."""
+        size, parts = np.zeros(len(words), np.int64), []
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        short, long = np.flatnonzero(length <= LONG_WORD), np.flatnonzero(length > LONG_WORD)
 
-        def ended(at: list[int], query: str) -> None:
+        def ended(at: np.ndarray, query: str) -> None:
             got = self.con.sql(query).to_arrow_table()
-            for i, ids, raw in zip(at, got.column("ids").to_pylist(), got.column("raw").to_pylist()):
-                out[i] = ids, raw.encode("latin-1")
+            count = np.bincount(got.column("w").to_numpy(), minlength=len(at))
+            size[at] = count
+            parts.append((at, count, got.column("tok").to_numpy()))
 
-        short = [i for i, w in enumerate(words) if 0 < len(w) <= LONG_WORD]
         for a in range(0, len(short), WORDS_A_QUERY):
             part = short[a : a + WORDS_A_QUERY]
-            self._register("init", self._rows([words[i] for i in part]))
+            self._register("init", self._rows([words[i] for i in part.tolist()]))
             ended(part, _RECURSION)
-        long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
-        if long:
-            self._register("init", self._rows([words[i] for i in long]))
+        if len(long):
+            self._register("init", self._rows([words[i] for i in long.tolist()]))
             self.con.execute("CREATE OR REPLACE TABLE long_words AS SELECT w, pos, tok FROM init")
             while True:
                 self.con.execute(_STEP)
@@ -164,7 +188,10 @@ class DuckBpe:
                 if not more:
                     break
             ended(long, _LONG_ENDED)
-        return out
+        ids, begin = np.empty(int(size.sum()), np.int32), np.cumsum(size) - size
+        for at, count, tok in parts:
+            ids[ranges(begin[at], count)] = tok
+        return size, ids
 
     def _rows(self, words: list[bytes]) -> pa.Table:
         n = np.array([len(w) for w in words], np.int64)
@@ -172,86 +199,67 @@ class DuckBpe:
         pos = np.arange(len(data)) - np.repeat(np.cumsum(n) - n, n)
         return pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), n), "pos": pos.astype(np.int32), "tok": self.bytes_ids[data]})
 
-    def decode_ids(self, coded: list[list[int]]) -> list[bytes]:
-        """Bytes of each list of ids."""
-        out = [b""] * len(coded)
-        full = [i for i, x in enumerate(coded) if x]
-        if full:
-            self._register("coded", pa.table({"k": pa.array(full, pa.int64()), "ids": pa.array([coded[i] for i in full], pa.list_(pa.int32()))}))
-            got = self.con.sql(_DECODE).to_arrow_table()
-            for i, raw in zip(got.column("k").to_pylist(), got.column("raw").to_pylist()):
-                out[i] = raw.encode("latin-1")
-        return out
-
-    def _learn(self, new: list[str], keys: list[bytes]) -> None:
-        """Encode and decode pieces of text and remember them under their keys."""
-        if len(self.words) > self.most_words:
-            self.words, self.words_before = {}, self.words
-        split, before = [self.split(p) for p in new], self.words_before
-        words = {w for ws in split for w in ws} - self.words.keys()
-        again = words & before.keys()
-        self.words.update([(w, before[w]) for w in again])
-        words = list(words - again)
-        self.words.update(zip(words, self.encode_words([w.encode() for w in words])))
-        for key, ws in zip(keys, split):
-            if len(ws) == 1:
-                self.pieces[key] = self.words[ws[0]]
-            else:
-                got = [self.words[w] for w in ws]
-                self.pieces[key] = ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
-        for w in words:
-            if len(w) > 200:
-                del self.words[w]
-
-    def _find(self, pieces: list[bytes]) -> list[tuple[str, bytes]]:
-        """Ids and decoded bytes of distinct pieces of text."""
-        known = self.pieces
-        if len(known) > self.most_pieces:  # what occurs again and again stays
-            known = self.pieces = {p: known[p] for p in pieces if p in known}
-        new = [p for p in pieces if p not in known]
-        if new:
-            self._learn([p.decode("utf-8", "replace") for p in new], new)
-        out = list(map(known.__getitem__, pieces))
-        for p in new:
-            if len(p) > 200:
-                del known[p]
-        return out
-
-    def trip(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[str, bytes]]:
-        """For each text (UTF-8 bytes and offsets) its ids, as decimals with commas, and the bytes that these ids decode to.
-
-        A piece begins with a space before a solid character: the pattern never matches
-        across the place before that space. Texts in which a space precedes white space or ends
-        the text are cut by a regular expression, all others at their spaces.
-        """
-        starts, ends, rows = words(data, offs, _SPACE)
-        head = np.zeros(len(data) + 1, bool)
-        head[offs] = True
-        codes, distinct = distinct_spans(data, starts - ~head[starts], ends, _RANDOMS)
-        got = self._find(distinct)
-        ids, raw = [x[0] for x in got], [x[1] for x in got]
-        find_ids, find_raw = ids.__getitem__, raw.__getitem__
-        # spaces before white space, byte by byte; before what may begin other white space, too
-        after = np.append(data[1:], 32)
-        odd = (data == 32) & (_WHITE[after] | head[1:])
-        more = np.flatnonzero((data == 32) & _MAYBE_WHITE[after] & ~odd)
-        third = np.append(data, (0, 0))[more + 2]
-        odd[more[_MAYBE_SECOND[third]]] = True
-        odd_rows = set((np.searchsorted(offs, np.flatnonzero(odd), "right") - 1).tolist())
-        out, listed, rows = [], codes.tolist(), rows.tolist()
-        for r, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
-            if r in odd_rows:
-                text = data[offs[r] : offs[r + 1]].tobytes().decode("utf-8", "replace")
-                first, *rest = self.cut(text)
-                parts = [p for p in (first.encode(), *[b" " + p.encode() for p in rest]) if p]
-                mine = list(set(parts))
-                place = dict(zip(mine, self._find(mine)))
-                found = [place[p] for p in parts]
-                out.append((",".join([x[0] for x in found]), b"".join([x[1] for x in found])))
-            else:
-                c = listed[a:b]
-                out.append((",".join(map(find_ids, c)), b"".join(map(find_raw, c))))
-        return out
+    def decode(self, size: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """Bytes of each list of ids: ``size`` ids each, one after the other."""
+        # a long list is several groups, one after the other
+        groups = np.maximum(1, -(-size // DECODED_IDS))
+        ends = np.cumsum(size)
+        place = np.arange(len(ids)) - np.repeat(ends - size, size)
+        k = np.repeat(np.cumsum(groups) - groups, size) + place // DECODED_IDS
+        self._register("coded", pa.table({"k": k.astype(np.int32), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        got = self.con.sql(_DECODE).to_arrow_table()
+        out = [b""] * int(groups.sum())
+        for i, raw in zip(got.column("k").to_pylist(), got.column("raw").to_pylist()):
+            out[i] = raw.encode("latin-1")
+        if len(out) == len(size):
+            return out
+        at = np.cumsum(groups).tolist()
+        return [b"".join(out[a:b]) for a, b in zip([0, *at[:-1]], at)]
+
+    def _learn(self, new: list[bytes], h: np.ndarray) -> None:
+        """Encode pieces of text and remember them, and the words that they consist of, under their hashes."""
+        split = [self.split(p.decode("utf-8", "replace")) for p in new]
+        whole = np.fromiter((len(ws) == 1 for ws in split), bool, len(split))
+        words = list({w for ws in split for w in ws})
+        number = {w: i for i, w in enumerate(words)}
+        raw = [w.encode() for w in words]
+        size, ids = self.encode_words(raw)
+        begin = np.cumsum(size) - size
+        flat = np.fromiter((number[w] for ws in split for w in ws), np.int64)
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        of_piece = np.add.reduceat(np.append(size[flat], 0), np.cumsum(count) - count) if len(count) else size[:0]
+        self.memory.add(h, np.where(whole, size[flat[np.cumsum(count) - count]], of_piece), ids[ranges(begin[flat], size[flat])])
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text (UTF-8 bytes and offsets), and all ids in a row."""
+        self.memory.shrink()
+        starts = cuts(data, offs) if self.cuts_hold else offs[:-1][np.diff(offs) > 0]
+        codes, h, first = distinct_spans(data, starts, np.append(starts[1:], len(data)), _RANDOMS)
+        new = np.flatnonzero(self.memory.find(h) < 0)
+        if len(new):
+            raw, ends = data.tobytes(), np.append(starts[1:], len(data))
+            some = first[new]
+            self._learn([raw[a:b] for a, b in zip(starts[some].tolist(), ends[some].tolist())], h[new])
+        count, ids = self.memory.rows(self.memory.find(h)[codes])
+        return np.diff(np.concatenate([[0], np.cumsum(count)])[np.searchsorted(starts, offs)]), ids
+
+
+class Decimals:
+    """Ids as decimals with commas, by a table of all ids."""
+
+    def __init__(self, most: int) -> None:
+        text = [b"%d," % i for i in range(most)]
+        self.size = np.fromiter(map(len, text), np.int64, most)
+        self.begin = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(text), np.uint8)
+
+    def __call__(self, size: np.ndarray, ids: np.ndarray) -> Iterator[bytes]:
+        """For each list of ids its decimals, joined by commas."""
+        wide = self.size[ids]
+        text = self.data[ranges(self.begin[ids], wide)].tobytes()
+        ends = np.concatenate([[0], np.cumsum(wide)])[np.concatenate([[0], np.cumsum(size)])].tolist()
+        for a, b in zip(ends[:-1], ends[1:]):
+            yield text[a : max(a, b - 1)]
 
 
 _CODERS: dict[tuple, DuckBpe] = {}
@@ -272,6 +280,10 @@ def _settings(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
     return vocabulary or tokenizer_path("byte_bpe_multi_50k.tiktoken"), pattern
 
 
+def _lists(size: np.ndarray, ids: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(ids, pa.int32()))
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """doc_id and ids (array of int) of every document."""
     path, pattern = _settings(vocabulary, pattern)
@@ -280,9 +292,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
         bpe = coder(path, pattern)
         for batch in batches:
             for a, b, data, offs in pieces(batch):
-                coded = bpe.trip(data, offs)
-                ids = [list(map(int, c.split(","))) if c else [] for c, _ in coded]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(*bpe.encode(data, offs))], names=["doc_id", "ids"])
 
     return narrow(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -294,32 +304,31 @@ def decode(coded: DataFrame, vocabulary: str | None = None, pattern: str | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         for batch in batches:
-            raw = bpe.decode_ids([x or [] for x in batch.column(1).to_pylist()])
+            lists = [x or [] for x in batch.column(1).to_pylist()]
+            ids = np.fromiter(chain.from_iterable(lists), np.int32)
+            raw = bpe.decode(np.fromiter(map(len, lists), np.int64, len(lists)), ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False, remembered: int = REMEMBERED_WORDS) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode every document, decode its ids, and return counts and digests of both, with the ids if asked for: the whole trip within one task, so that no ids are moved."""
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern, remembered)
+        bpe = coder(path, pattern)
         for batch in batches:
-            for a, b, data, offs in pieces(batch):
-                coded = bpe.trip(data, offs)
-                joined = [c.encode() for c, _ in coded]
+            for a, b, data, offs in pieces(batch, most=STEP_BYTES):
+                size, ids = bpe.encode(data, offs)
                 columns = {
                     "doc_id": batch.column(0).slice(a, b - a),
-                    "n_tokens": pa.array([j.count(b",") + 1 if j else 0 for j in joined], pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(j).hexdigest() for j in joined]),
-                    "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for _, t in coded]),
+                    "n_tokens": pa.array(size, pa.int64()),
+                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decimals(size, ids)], pa.string()),
+                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(size, ids)], pa.string()),
                 }
                 if with_ids:
-                    ids = [np.fromstring(c, np.int32, sep=",") if c else np.zeros(0, np.int32) for c, _ in coded]
-                    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                    columns["ids"] = _lists(size, ids)
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

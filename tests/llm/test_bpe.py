@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
@@ -24,10 +25,26 @@ def library():
 def test_as_the_library(library):
     coder = bpe.DuckBpe(PATH, public_tokenizers.PATTERN)
     raw = [t.encode() for t in TEXTS]
-    coded = coder.trip(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
-    for text, (ids, raw) in zip(TEXTS, coded):
-        assert [int(i) for i in ids.split(",") if i] == library.encode_ordinary(text), text
-        assert raw.decode() == text
+    size, ids = coder.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    ends = np.cumsum(size)
+    for text, a, b, back, decimals in zip(TEXTS, ends - size, ends, coder.decode(size, ids), coder.decimals(size, ids)):
+        assert ids[a:b].tolist() == library.encode_ordinary(text), text
+        assert back.decode() == text
+        assert decimals.decode() == ",".join(map(str, ids[a:b].tolist()))
+
+
+def test_random_texts_as_the_library(library):
+    rng = random.Random(5)
+    parts = list("aZé İ1٣.,;:!?'\"\n\n\t  s世\u3000\u2003\u0085\u00a0\u1680x\x1c-") + ["'s", "'ll", " the", "word", "\r\n", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(5000)]
+    raw = [t.encode() for t in texts]
+    for coder in (bpe.DuckBpe(PATH, public_tokenizers.PATTERN), bpe.DuckBpe(PATH, public_tokenizers.PATTERN, remembered=1000)):
+        for a in range(0, len(texts), 1000):
+            size, ids = coder.encode(np.frombuffer(b"".join(raw[a : a + 1000]), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw[a : a + 1000]])]))
+            ends = np.cumsum(size)
+            for text, i, j in zip(texts[a : a + 1000], ends - size, ends):
+                assert ids[i:j].tolist() == library.encode_ordinary(text), text
+            assert b"".join(coder.decode(size, ids)) == b"".join(raw[a : a + 1000])
 
 
 def test_tables(spark, library):
