@@ -63,6 +63,10 @@ KEPT_CHECKPOINTS = 3
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 DEFAULT_CAPTION_STYLE = "concise"
 
+# Patterns of opening tags that need a closing one, and of closing tags.
+OPEN_TAG = r"<svg\b(?=[^>]*>)(?![^>]*?/>)"
+CLOSE_TAG = r"</svg\s*>"
+
 # Element classes.
 BASIC_TAGS = ("rect", "circle", "ellipse")
 CONNECTOR_TAGS = ("line", "polyline")

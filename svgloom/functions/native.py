@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from svgloom import config
 
 # Patterns.
-_OPEN = r"<svg\b(?=[^>]*>)(?![^>]*?/>)"
-_CLOSE = r"</svg\s*>"
 _TRAILING_SPACE = r"(?U)[\s\x1c-\x1f]+\z"
 _NUMBER = r"-?\d+(?:\.\d+)?"
 _SVG = r"(?s)(<svg.*?</svg>)"
@@ -40,7 +38,7 @@ def in_truncation_folder(relative_path: Column) -> Column:
 
 def closed_svg(svg: Column) -> Column:
     """Markup with the closing tags that it lacks; white space at its end goes only then."""
-    missing = F.regexp_count(svg, F.lit(_OPEN)) - F.regexp_count(svg, F.lit(_CLOSE))
+    missing = F.regexp_count(svg, F.lit(config.OPEN_TAG)) - F.regexp_count(svg, F.lit(config.CLOSE_TAG))
     return F.when(missing > 0, F.concat(F.regexp_replace(svg, _TRAILING_SPACE, ""), F.repeat(F.lit("\n</svg>"), missing))).otherwise(svg)
 
 
@@ -80,8 +78,27 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.lit(0.0)).otherwise(part / whole)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A double with so many decimals, as its exact binary value rounds, half to even: Java's formatter rounds the shortest decimal instead, half up.
+
+    The product with the power of ten is split into a rounded part and its error, so that ties are told exactly.
+    """
+    scale = 10**digits
+    a = F.abs(x.cast("double"))
+    p = a * F.lit(float(scale))
+    high = a * F.lit(134217729.0) - (a * F.lit(134217729.0) - a)
+    error = (high * F.lit(float(scale)) - p) + (a - high) * F.lit(float(scale))
+    whole = F.floor(p)
+    over = p - whole
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    n = whole + up.cast("long")
+    sign = F.when(x < 0, "-").otherwise("")
+    text = F.concat(sign, F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+    return F.when(p < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+
+
 def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+    return F.concat(fixed(share * 100, 1), F.lit("%"))
 
 
 def local_tag(tag: Column) -> Column:
@@ -124,7 +141,7 @@ def quality_error(basic: Column, connector: Column, complex_: Column) -> Column:
     start = "SVG quality filter failed: "
     return (
         F.when(structural + complex_ == 0, F.lit(start + "no geometric elements found."))
-        .when(share < config.LEAST_STRUCTURAL_SHARE, F.format_string(start + f"structural primitive ratio %.2f < {config.LEAST_STRUCTURAL_SHARE:.2f}.", share))
+        .when(share < config.LEAST_STRUCTURAL_SHARE, F.concat(F.lit(start + "structural primitive ratio "), fixed(share, 2), F.lit(f" < {config.LEAST_STRUCTURAL_SHARE:.2f}.")))
         .when(complex_ > config.MOST_COMPLEX_SHAPES, F.format_string(start + f"complex shape count %d > {config.MOST_COMPLEX_SHAPES}.", complex_))
     )
 
@@ -146,7 +163,7 @@ def acceptance_error(mse: Column, share: Column, least_mse: float = config.LEAST
     """Why a corrupted drawing looks too much like the clean one, or null; equality passes, and nothing is asked if both limits are 0."""
     if least_mse <= 0 and least_share <= 0:
         return F.lit(None).cast("string")
-    return F.when(mse < least_mse, F.format_string(f"render MSE %.6f < {least_mse:.6f}", mse)).when(share < least_share, F.format_string(f"changed pixel ratio %.6f < {least_share:.6f}", share))
+    return F.when(mse < least_mse, F.concat(F.lit("render MSE "), fixed(mse, 6), F.lit(f" < {least_mse:.6f}"))).when(share < least_share, F.concat(F.lit("changed pixel ratio "), fixed(share, 6), F.lit(f" < {least_share:.6f}")))
 
 
 def _message(role: str, *parts: tuple[str, Column]) -> Column:

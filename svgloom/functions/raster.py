@@ -1,7 +1,7 @@
 """A small renderer and the comparison of images.
 
 ``NumpyRenderer`` draws rectangles, circles, ellipses, lines, polylines, polygons and paths of
-straight and curved commands in plain colours. What it cannot draw raises, so that a drawing is
+straight and curved commands in plain colours, and text as one box for each word where the word would stand. What it cannot draw raises, so that a drawing is
 refused rather than left blank. ``default_renderer`` takes cairosvg where that is installed.
 """
 
@@ -25,8 +25,10 @@ _NAMES = {
 _NUMBER = re.compile(r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?")
 _COMMAND = re.compile(r"([MmLlHhVvCcSsQqTtAaZz])|([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)")
 _ARITY = {"M": 2, "L": 2, "H": 1, "V": 1, "C": 6, "S": 4, "Q": 4, "T": 2, "Z": 0}
-_INHERITED = ("fill", "stroke", "stroke-width")
-_SILENT = ("defs", "metadata", "title", "desc", "style", "symbol", "clippath", "mask", "marker", "lineargradient", "radialgradient", "filter", "pattern", "text", "tspan")
+_INHERITED = ("fill", "stroke", "stroke-width", "font-size", "text-anchor", "opacity")
+_SILENT = ("defs", "metadata", "title", "desc", "style", "symbol", "clippath", "mask", "marker", "lineargradient", "radialgradient", "filter", "pattern")
+#: Of the font size: width of a character, height of a word's box.
+_CHARACTER, _HEIGHT = 0.55, 0.7
 
 
 class Renderer(Protocol):
@@ -55,6 +57,12 @@ def _length(value: str | None, default: float) -> float:
     return float(m[0]) if m else default
 
 
+def _declared(style: str | None) -> dict[str, str]:
+    """The properties of a style attribute that the renderer knows; they count over attributes."""
+    pairs = (p.split(":", 1) for p in (style or "").split(";") if ":" in p)
+    return {k: v for k, v in ((a.strip().lower(), b.strip()) for a, b in pairs) if k in _INHERITED}
+
+
 def path_points(d: str, steps: int = 12) -> list[tuple[np.ndarray, bool]]:
     """The flattened subpaths of path data and whether they are closed."""
     out: list[tuple[np.ndarray, bool]] = []
@@ -145,39 +153,69 @@ class NumpyRenderer:
                 continue
             if element.get("transform"):
                 raise SvgQualityError("SVG render failed: transform")
-            style = style | {k: element.get(k) for k in _INHERITED if element.get(k) is not None}
-            opacity *= min(1.0, max(0.0, _length(element.get("opacity"), 1.0)))
+            own = {k: element.get(k) for k in _INHERITED if element.get(k) is not None} | _declared(element.get("style"))
+            opacity *= min(1.0, max(0.0, _length(own.pop("opacity", None), 1.0)))
+            style = style | own
             if tag in ("svg", "g", "a"):
                 stack += [(c, style, opacity) for c in reversed(element)]
             elif tag in ("rect", "circle", "ellipse", "line", "polyline", "polygon", "path"):
                 self._shape(tag, element, style, opacity)
+            elif tag == "text":
+                self._text(element, style, opacity)
             elif tag:
                 raise SvgQualityError(f"SVG render failed: element {tag}")
         return np.rint(self.pixels).astype(np.uint8)
 
-    def _paint(self, mask: np.ndarray, value: tuple[int, int, int], opacity: float) -> None:
-        under, alpha = self.pixels[mask], opacity
+    def _window(self, points: np.ndarray, margin: float = 0.0) -> tuple[slice, slice]:
+        """Rows and columns of pixels that a shape can reach: all work on it stays inside."""
+        (x0, y0), (x1, y1) = points.min(axis=0) - margin, points.max(axis=0) + margin
+        rows = slice(*np.searchsorted(self.y[:, 0], (y0, np.nextafter(y1, np.inf))))
+        return rows, slice(*np.searchsorted(self.x, (x0, np.nextafter(x1, np.inf))))
+
+    def _paint(self, window: tuple[slice, slice], mask: np.ndarray, value: tuple[int, int, int], opacity: float) -> None:
+        pixels = self.pixels[window]
+        under, alpha = pixels[mask], opacity
         left = under[:, 3:] / 255 * (1 - alpha)
         total = np.maximum(alpha + left, 1e-9)
-        self.pixels[mask] = np.concatenate([(np.array(value) * alpha + under[:, :3] * left) / total, total * 255], axis=1)
+        pixels[mask] = np.concatenate([(np.array(value) * alpha + under[:, :3] * left) / total, total * 255], axis=1)
 
-    def _inside(self, points: np.ndarray) -> np.ndarray:
-        odd = np.zeros((len(self.y), len(self.x)), bool)
-        for (ax, ay), (bx, by) in zip(points, np.roll(points, -1, axis=0)):
+    def _inside(self, points: np.ndarray, window: tuple[slice, slice]) -> np.ndarray:
+        y, x = self.y[window[0]], self.x[None, window[1]]
+        odd = np.zeros((y.shape[0], x.shape[1]), bool)
+        for (ax, ay), (bx, by) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist()):
             if ay != by:
-                crosses = (self.y > min(ay, by)) & (self.y <= max(ay, by))
-                odd ^= crosses & (self.x[None, :] < ax + (self.y - ay) * (bx - ax) / (by - ay))
+                crosses = (y > min(ay, by)) & (y <= max(ay, by))
+                odd ^= crosses & (x < ax + (y - ay) * (bx - ax) / (by - ay))
         return odd
 
-    def _near(self, points: np.ndarray, closed: bool, half: float) -> np.ndarray:
-        near = np.zeros((len(self.y), len(self.x)), bool)
+    def _near(self, points: np.ndarray, closed: bool, half: float, window: tuple[slice, slice]) -> np.ndarray:
+        y, x = self.y[window[0]], self.x[None, window[1]]
+        near = np.zeros((y.shape[0], x.shape[1]), bool)
         ends = np.roll(points, -1, axis=0) if closed else points[1:]
-        for (ax, ay), (bx, by) in zip(points, ends):
+        for (ax, ay), (bx, by) in zip(points.tolist(), ends.tolist()):
             dx, dy = bx - ax, by - ay
-            t = np.clip(((self.x[None, :] - ax) * dx + (self.y - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
-            near |= (self.x[None, :] - ax - t * dx) ** 2 + (self.y - ay - t * dy) ** 2 <= half * half
+            t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+            near |= (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2 <= half * half
         return near
 
+    def _text(self, element, style: dict, opacity: float) -> None:
+        """Words as boxes over their base line, in the fill colour; parts go on where the last one ended unless they have a place of their own."""
+        size, fill = _length(style.get("font-size"), 16.0), colour(style["fill"])
+        at = [_length(element.get("x"), 0.0), _length(element.get("y"), 0.0)]
+        parts = [(element.text, element)] + [p for c in element for p in ((c.text if markup.local_name(c) == "tspan" else None, c), (c.tail, None))]
+        line = " ".join("".join(t or "" for t, _ in parts).split())
+        at[0] -= {"middle": 0.5, "end": 1.0}.get(style.get("text-anchor") or "", 0.0) * len(line) * size * _CHARACTER
+        for text, own in parts:
+            if own is not None and own is not element:
+                at = [_length(own.get(a), v) + _length(own.get("d" + a), 0.0) for a, v in zip("xy", at)]
+            for word in re.findall(r"\S+|\s+", text or ""):
+                wide = len(word) * size * _CHARACTER if word.strip() else size * _CHARACTER
+                if word.strip() and fill is not None and size > 0:
+                    box = np.array([(at[0], at[1] - size * _HEIGHT), (at[0] + wide, at[1] - size * _HEIGHT), (at[0] + wide, at[1]), (at[0], at[1])])
+                    window = self._window(box)
+                    self._paint(window, self._inside(box, window), fill, opacity)
+                at[0] += wide
+
     def _shape(self, tag: str, e, style: dict, opacity: float) -> None:
         n = lambda k: _length(e.get(k), 0.0)
         if tag == "rect":
@@ -196,14 +234,16 @@ class NumpyRenderer:
             outlines = [(np.array(v[: len(v) // 2 * 2]).reshape(-1, 2), tag == "polygon")] if len(v) >= 4 else []
         fill, stroke = colour(style["fill"]), colour(style["stroke"])
         if fill is not None and tag != "line" and outlines:
-            inside = self._inside(outlines[0][0])
+            window = self._window(np.concatenate([points for points, _ in outlines]))
+            inside = self._inside(outlines[0][0], window)
             for points, _ in outlines[1:]:
-                inside ^= self._inside(points)
-            self._paint(inside, fill, opacity)
+                inside ^= self._inside(points, window)
+            self._paint(window, inside, fill, opacity)
         if stroke is not None:
             half = _length(style["stroke-width"], 1.0) / 2
             for points, closed in outlines:
-                self._paint(self._near(points, closed, half), stroke, opacity)
+                window = self._window(points, half)
+                self._paint(window, self._near(points, closed, half, window), stroke, opacity)
 
 
 class CairoRenderer:
@@ -233,18 +273,55 @@ def default_renderer() -> Renderer:
         return NumpyRenderer()
 
 
+def _lanczos(old: int, new: int, lobes: int = 3) -> np.ndarray:
+    """Weights (new, old) of a windowed sinc, widened where the image shrinks."""
+    scale = max(1.0, old / new)
+    centre = (np.arange(new)[:, None] + 0.5) * old / new
+    first, last = np.maximum(np.floor(centre - lobes * scale + 0.5), 0), np.minimum(np.floor(centre + lobes * scale + 0.5), old)
+    place = np.arange(old)[None, :]
+    x = (place + 0.5 - centre) / scale
+    weight = np.where((np.abs(x) < lobes) & (place >= first) & (place < last), np.sinc(x) * np.sinc(x / lobes), 0.0)
+    return weight / weight.sum(axis=1, keepdims=True)
+
+
 def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Linear resampling to another size."""
+    """Lanczos resampling of RGBA pixels to another size: colours weigh by their alpha, and each axis rounds to bytes, width first."""
     if image.shape[:2] == (height, width):
         return image
-    out = image.astype(np.float64)
-    for axis, size in ((0, height), (1, width)):
-        at = np.clip((np.arange(size) + 0.5) * out.shape[axis] / size - 0.5, 0, out.shape[axis] - 1)
-        low = np.floor(at).astype(int)
-        high = np.minimum(low + 1, out.shape[axis] - 1)
-        part = (at - low).reshape([-1 if a == axis else 1 for a in range(3)])
-        out = np.take(out, low, axis) * (1 - part) + np.take(out, high, axis) * part
-    return np.rint(out).astype(np.uint8)
+    alpha = image[..., 3:].astype(np.float64)
+    out = np.concatenate([np.rint(image[..., :3] * alpha / 255), alpha], axis=2)
+    for axis, size in ((1, width), (0, height)):
+        if out.shape[axis] != size:
+            out = np.moveaxis(np.tensordot(_lanczos(out.shape[axis], size), out, (1, axis)), 0, axis)
+            out = np.clip(np.rint(out), 0, 255)
+    alpha = out[..., 3:]
+    plain = np.where(alpha > 0, np.minimum(255, np.floor(out[..., :3] * 255 / np.maximum(alpha, 1))), 0)
+    return np.concatenate([plain, alpha], axis=2).astype(np.uint8)
+
+
+def on_white(image: np.ndarray) -> np.ndarray:
+    """RGBA pixels over white, without transparency."""
+    share = image[..., 3:] / 255.0
+    out = np.full(image.shape, 255, np.uint8)
+    out[..., :3] = np.rint(image[..., :3] * share + 255 * (1 - share))
+    return out
+
+
+def gallery(rows: list[list[np.ndarray | None]], cell: int = 160, gap: int = 8) -> np.ndarray:
+    """One white image with a row of equal cells for each list: each picture fitted into its cell, a grey cell where there is none."""
+    columns = max((len(r) for r in rows), default=0)
+    out = np.full((gap + len(rows) * (cell + gap), gap + columns * (cell + gap), 4), 255, np.uint8)
+    for i, row in enumerate(rows):
+        for k, image in enumerate(row):
+            y, x = gap + i * (cell + gap), gap + k * (cell + gap)
+            if image is None:
+                out[y : y + cell, x : x + cell, :3] = 224
+                continue
+            fit = min(1.0, cell / max(image.shape[:2]))
+            h, w = (max(1, round(n * fit)) for n in image.shape[:2])
+            y, x = y + (cell - h) // 2, x + (cell - w) // 2
+            out[y : y + h, x : x + w] = on_white(resized(image, h, w))
+    return out
 
 
 def difference(clean: np.ndarray, other: np.ndarray) -> tuple[float, float]:
@@ -254,6 +331,36 @@ def difference(clean: np.ndarray, other: np.ndarray) -> tuple[float, float]:
     return float((far.astype(np.float64) ** 2).mean() / 255**2), float((far >= config.CHANGED_CHANNEL).any(axis=2).mean())
 
 
+def read_png(content: bytes) -> np.ndarray:
+    """The pixels of a file that ``png`` wrote."""
+    import zlib
+
+    at, body, size = 8, b"", (0, 0)
+    while at < len(content):
+        n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        part = content[at + 8 : at + 8 + n]
+        if kind == b"IHDR":
+            size = int.from_bytes(part[:4], "big"), int.from_bytes(part[4:8], "big")
+            if part[8:] != bytes((8, 6, 0, 0, 0)):
+                raise ValueError("only 8-bit RGBA pictures are read")
+        body += part if kind == b"IDAT" else b""
+        at += 12 + n
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(size[1], 1 + 4 * size[0])
+    if lines[:, 0].any():
+        raise ValueError("only unfiltered pictures are read")
+    return lines[:, 1:].reshape(size[1], size[0], 4)
+
+
+def render_to(renderer: Renderer, svg: str, path: str) -> None:
+    """Render a drawing into a PNG file, which appears whole or not at all."""
+    import os
+
+    content = png(renderer.render(svg))
+    with open(f"{path}.tmp", "wb") as f:
+        f.write(content)
+    os.replace(f"{path}.tmp", path)
+
+
 def png(image: np.ndarray) -> bytes:
     """RGBA pixels as a PNG file."""
     import struct

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from svgloom import config
+from svgloom.functions import native
+from svgloom.operators import sampling
 
 
 def tokenized(text: Column, encode, end: str = "") -> Column:
@@ -35,8 +37,7 @@ def fitting(df: DataFrame, length: str, columns: list[str], most: int = config.M
 
 def batched(df: DataFrame, size: int, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with batch_id and the place in the batch, in an order; ``by`` names what is batched apart (such as a task or a shard)."""
-    k = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return df.withColumn("__k", k).withColumn("batch_id", F.floor(F.col("__k") / size)).withColumn("place", (F.col("__k") % size).cast("int")).drop("__k")
+    return sampling.numbered_in(df, by, *order, name="__k").withColumn("batch_id", F.floor(F.col("__k") / size)).withColumn("place", (F.col("__k") % size).cast("int")).drop("__k")
 
 
 def training_arrays(df: DataFrame, prompt: str = "prompt_ids", target: str = "target_ids", mask: str | None = None) -> DataFrame:
@@ -59,15 +60,28 @@ def padded(df: DataFrame, pads: dict[str, int], by: str = "batch_id") -> DataFra
     return df
 
 
-def repeated(df: DataFrame, steps: int, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rows in endless epochs, cut at ``steps``: step, epoch (from 1) and the row of that step. A row is repeated by arithmetic, not by a join of all steps with all rows."""
-    w = Window.partitionBy(*by)
-    numbered = df.withColumn("__r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    mine = numbered.where(F.col("__r") < steps).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil((F.lit(steps) - F.col("__r")) / F.col("__n")).cast("int"))))
-    return mine.withColumn("step", (F.col("epoch") - 1) * F.col("__n") + F.col("__r")).drop("__r", "__n")
+def repeated(df: DataFrame, steps: int, *order: str, by: tuple[str, ...] = (), seed: int | None = None) -> DataFrame:
+    """Rows in endless epochs, cut at ``steps``: step, epoch (from 1) and the row of that step.
 
+    A row is repeated by arithmetic, not by a join of all steps with all rows. With a ``seed`` each epoch has a
+    shuffle of its own, by a hash of epoch and the first column of ``order``.
+    """
+    if seed is None:
+        placed = sampling.numbered_in(df, by, *order, name="__r")
+        mine = _sized(placed, by).where(F.col("__r") < steps).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil((F.lit(steps) - F.col("__r")) / F.col("__n")).cast("int"))))
+    else:
+        every = _sized(df, by).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.lit(steps) / F.col("__n")).cast("int"))))
+        mine = sampling.numbered_in(every, (*by, "epoch"), native.order_hash(F.concat_ws(":", "epoch", order[0]), seed), *order, name="__r")
+    return mine.withColumn("step", (F.col("epoch") - 1) * F.col("__n") + F.col("__r")).where(F.col("step") < steps).drop("__r", "__n")
 
-def interleaved(df: DataFrame, steps: int, tasks: list[str], task: str, *order: str) -> DataFrame:
+
+def _sized(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """``df`` with __n, the rows of its group: partial counts joined back."""
+    n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(n, list(by)) if by else df.join(F.broadcast(n))  # without groups: one row
+
+
+def interleaved(df: DataFrame, steps: int, tasks: list[str], task: str, *order: str, seed: int | None = None) -> DataFrame:
     """One row of each task in each step, tasks in their given order: ``turn`` counts them through."""
     place = F.array_position(F.array(*[F.lit(t) for t in tasks]), F.col(task)) - 1
-    return repeated(df.where(place >= 0), steps, *order, by=(task,)).withColumn("turn", F.col("step") * len(tasks) + place)
+    return repeated(df.where(place >= 0), steps, *order, by=(task,), seed=seed).withColumn("turn", F.col("step") * len(tasks) + place)

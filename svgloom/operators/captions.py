@@ -7,11 +7,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from svgloom import config, schemas
 from svgloom.functions import markup, native, raster
-from svgloom.session import ship
+from svgloom.operators import sampling
+from svgloom.session import materialize, ship
 
 
 class Captioner(Protocol):
@@ -79,9 +79,26 @@ def caption_rows(raw: DataFrame, spec: config.Source, split: str, captioner: Cap
 
 def until_target(rows: DataFrame, target: int, by: list[str] | None = None) -> DataFrame:
     """Rows in order of row_index until ``target`` were kept: a row is read if fewer were kept before it."""
-    w = Window.partitionBy(*(by or [])).orderBy("row_index")
-    before = F.sum(F.col("keep").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("__before", F.coalesce(before, F.lit(0))).where(F.col("__before") < target).drop("__before")
+    by = tuple(by or ())
+    # only kept rows are numbered; the one that fills the target ends the reading
+    kept = sampling.numbered_in(rows.where("keep").select(*by, "row_index"), by, "row_index", name="__k")
+    last = kept.where(F.col("__k") == target - 1).select(*by, F.col("row_index").alias("__last"))
+    joined = rows.join(last, list(by), "left") if by else rows.join(F.broadcast(last), F.lit(True), "left")  # one row at most without groups
+    return joined.where(F.col("__last").isNull() | (F.col("row_index") <= F.col("__last"))).drop("__last")
+
+
+def captioned_until(raw: DataFrame, spec: config.Source, split: str, target: int, rows_a_step: int = 50_000, row_index: str = "row_index", **options) -> DataFrame:
+    """Checkpoint rows of a raw table, range by range of row_index, until ``target`` rows are kept: ranges after that are never captioned.
+
+    Each range is written before the next begins; one task's worth of rows a range would starve a cluster, so take many.
+    """
+    end = raw.agg(F.max(row_index)).first()[0]
+    out, kept, start = None, 0, 0
+    while kept < target and end is not None and start <= end:
+        part = materialize(caption_rows(sampling.row_range(raw, start, start + rows_a_step, index=row_index), spec, split, row_index=row_index, **options), "captions")
+        out = part if out is None else out.union(part)
+        kept, start = kept + part.where("keep").count(), start + rows_a_step
+    return caption_rows(raw.limit(0), spec, split, row_index=row_index, **options) if out is None else until_target(out, target)
 
 
 def final_rows(checkpoints: DataFrame, target: int | None = None) -> DataFrame:

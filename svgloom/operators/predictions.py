@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from svgloom import config
+from svgloom import config, schemas
 from svgloom.errors import RowError, SvgExtractionError, TextLabelError
 from svgloom.functions import markup, raster
 from svgloom.session import ship
@@ -75,7 +75,7 @@ def generated(examples: DataFrame, generator: Generator, at_once: int = 4, key:
             out.insert(0, key, b[key].to_numpy())
             yield out
 
-    return examples.select(F.col(key).cast("long").alias(key), F.col(prompt).cast("string").alias(prompt)).mapInPandas(run, f"{key} long, text string, latency_seconds double, request_error string")
+    return examples.select(F.col(key).cast("long").alias(key), F.col(prompt).cast("string").alias(prompt)).mapInPandas(run, schemas.T.StructType([schemas.T.StructField(key, schemas.T.LongType()), *schemas.GENERATED.fields[1:]]))
 
 
 def extract(text: str) -> str:
@@ -91,23 +91,25 @@ def evaluated(rows: DataFrame, renderer: raster.Renderer | None = None, target:
     ship(rows.sparkSession)
     draw = renderer or raster.default_renderer()
 
+    def drawn(svg: str) -> tuple:
+        try:
+            return draw.render(svg), None
+        except RowError as e:
+            return None, str(e)
+
     def one(clean: str | None, answer: str | None) -> tuple:
+        goal, target_error = drawn(clean or "")
+        svg, image, error = None, None, None
         try:
             svg = extract(answer or "")
-        except RowError:
-            return None, False, False, False, None, None, None
-        valid = markup.is_svg(svg)
-        try:
-            image = draw.render(svg)
-        except RowError:
-            return svg, True, valid, False, None, None, None
-        try:
-            goal = draw.render(clean or "")
-        except RowError:
-            return svg, True, valid, True, None, raster.png(image), None
-        return svg, True, valid, True, raster.difference(goal, image)[0], raster.png(image), raster.png(goal)
+            image, error = drawn(svg)
+        except RowError as e:
+            error = str(e)
+        mse = raster.difference(goal, image)[0] if goal is not None and image is not None else None
+        pictures = [raster.png(x) if x is not None else None for x in (image, goal)]
+        return svg, svg is not None, svg is not None and markup.is_svg(svg), image is not None, mse, error, goal is not None, target_error, *pictures
 
-    names = ["prediction_svg", "prediction_has_svg", "prediction_is_valid_svg", "prediction_rendered", "pixel_mse", "prediction_png", "target_png"]
+    names = ["prediction_svg", "prediction_has_svg", "prediction_is_valid_svg", "prediction_rendered", "pixel_mse", "prediction_error", "target_rendered", "target_error", "prediction_png", "target_png"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,5 +117,5 @@ def evaluated(rows: DataFrame, renderer: raster.Renderer | None = None, target:
             out.insert(0, key, b[key].to_numpy())
             yield out
 
-    schema = f"{key} long, prediction_svg string, prediction_has_svg boolean, prediction_is_valid_svg boolean, prediction_rendered boolean, pixel_mse double, prediction_png binary, target_png binary"
+    schema = f"{key} long, prediction_svg string, prediction_has_svg boolean, prediction_is_valid_svg boolean, prediction_rendered boolean, pixel_mse double, prediction_error string, target_rendered boolean, target_error string, prediction_png binary, target_png binary"
     return rows.select(F.col(key).cast("long").alias(key), F.col(target).alias("clean"), F.col(text).alias("answer")).mapInPandas(run, schema)

@@ -9,6 +9,8 @@ from svgloom.session import ship
 
 #: Orders whose number is a multiple of this lack the closing tag.
 OPEN_EVERY = 10
+#: Examples whose number is a multiple of this have no score of one model.
+UNRENDERED_EVERY = 11
 MODELS = ["base", "fine_tuned", "gpt", "gemini"]
 
 
@@ -45,12 +47,13 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """evaluation_index, model and pixel_mse: four price columns of a line stand for four models."""
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("evaluation_index")).agg(F.max("l_discount").alias("base"), F.max("l_tax").alias("fine_tuned"), (F.max("l_quantity") / 500).alias("gpt"), F.min("l_discount").alias("gemini"))
+    lines = lines.withColumn("gpt", F.when(F.col("evaluation_index") % UNRENDERED_EVERY != 0, F.col("gpt")))
     return lines.select("evaluation_index", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pixel_mse")) for m in MODELS])))
 
 
-SCORES_SQL = """
+SCORES_SQL = f"""
 SELECT l_orderkey AS evaluation_index, unnest(['base', 'fine_tuned', 'gpt', 'gemini']) AS model,
-    unnest([max(l_discount), max(l_tax), max(l_quantity) / 500, min(l_discount)]) AS pixel_mse
+    unnest([max(l_discount), max(l_tax), CASE WHEN l_orderkey % {UNRENDERED_EVERY} <> 0 THEN max(l_quantity) / 500 END, min(l_discount)]) AS pixel_mse
 FROM lineitem GROUP BY l_orderkey
 """
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from svgloom import config
-from svgloom.functions import native
+from svgloom.functions import markup, native
 from svgloom.operators import batches, captions, evaluation, repair, sampling, splits, statistics
 from svgloom.plans import carriers
 from svgloom.plans.carriers import DRAWINGS_SQL, MODELS, RESULTS_SQL, SCORES_SQL, table
@@ -58,12 +58,14 @@ _REASON = f"""CASE WHEN basic + connector + complex = 0 THEN 'SVG quality filter
 
 @query(f"SELECT o_orderkey, ({_REASON}) AS error, ({_REASON}) IS NULL AS keep FROM ({DRAWINGS_SQL})")
 def svg_quality_filter(spark, sf_dir):
-    from svgloom.functions import markup
+    return _quality(spark, sf_dir, "o_orderkey")
 
+
+def _quality(spark, sf_dir, *columns):
     c = F.col("clean")
-    rows = carriers.drawings(spark, sf_dir).select("o_orderkey", markup.cleaned(F.col("svg")).alias("clean"))
+    rows = carriers.drawings(spark, sf_dir).select(*columns, markup.cleaned(F.col("svg")).alias("clean"))
     error = F.coalesce(c["error"], native.quality_error(c["basic"], c["connector"], c["complex"]))
-    return rows.select("o_orderkey", error.alias("error"), error.isNull().alias("keep"))
+    return rows.select(*columns, error.alias("error"), error.isNull().alias("keep"))
 
 
 @query(f"""SELECT o_orderkey, o_orderkey % {carriers.OPEN_EVERY} = 0 AS was_open, 1 AS closers FROM ({DRAWINGS_SQL})""")
@@ -76,8 +78,7 @@ def close_repair(spark, sf_dir):
 @query(f"""WITH d AS ({DRAWINGS_SQL}), k AS (SELECT *, ({_REASON}) IS NULL AS keep FROM d)
 SELECT dataset, count(*) FILTER (keep) AS kept, count(*) FILTER (NOT keep) AS removed FROM k GROUP BY dataset""")
 def kept_by_source(spark, sf_dir):
-    d = carriers.drawings(spark, sf_dir).select("dataset", "o_orderkey").join(svg_quality_filter(spark, sf_dir), "o_orderkey")
-    return statistics.kept_counts(d, "keep", "dataset")
+    return statistics.kept_counts(_quality(spark, sf_dir, "dataset"), "keep", "dataset")
 
 
 @query("SELECT o_orderkey, '<svg width=\"1\"><path/></svg>' AS svg FROM orders WHERE o_orderkey % 2 = 1")
@@ -103,24 +104,30 @@ def split_counts(spark, sf_dir):
     return statistics.split_counts(splits.with_split(table(spark, sf_dir, "documents").select("source", "text"), "text"), "source", "split")
 
 
-_SOURCE = "(SELECT text, CASE doc_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents WHERE doc_id % 3 <> 0)"
+_SOURCE = "(SELECT text, CASE doc_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM documents)"
+_REPAIR = "(SELECT doc_id AS id, text FROM documents UNION ALL SELECT -item_id - 1, text FROM benchmark)"
 _LOOKUP = f"(SELECT sha256(text) AS digest, min(CASE split WHEN 'train' THEN 1 WHEN 'test' THEN 2 ELSE 3 END) AS p FROM {_SOURCE} GROUP BY 1)"
 
 
 def _source(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return d.select("text", F.when(F.col("doc_id") % 5 == 0, "val").when(F.col("doc_id") % 5 == 1, "test").otherwise("train").alias("split"))
+    return table(spark, sf_dir, "documents").select("text", F.when(F.col("doc_id") % 5 == 0, "val").when(F.col("doc_id") % 5 == 1, "test").otherwise("train").alias("split"))
+
+
+def _targets(spark, sf_dir):
+    """Documents, which all have a split, and benchmark items, which have none."""
+    items = table(spark, sf_dir, "benchmark").select((-F.col("item_id") - 1).alias("id"), "text")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").union(items)
 
 
-@query(f"SELECT doc_id, ['train', 'test', 'val'][p] AS split FROM documents JOIN {_LOOKUP} ON digest = sha256(text)")
+@query(f"SELECT id, ['train', 'test', 'val'][p] AS split FROM {_REPAIR} JOIN {_LOOKUP} ON digest = sha256(text)")
 def split_propagation(spark, sf_dir):
     lookup = splits.split_lookup(_source(spark, sf_dir), "text")
-    return splits.follow_split(table(spark, sf_dir, "documents").select("doc_id", "text"), lookup, "text").select("doc_id", "split")
+    return splits.follow_split(_targets(spark, sf_dir), lookup, "text").select("id", "split")
 
 
-@query(f"SELECT count(DISTINCT sha256(text)) AS missing FROM documents WHERE sha256(text) NOT IN (SELECT digest FROM {_LOOKUP})")
+@query(f"SELECT count(DISTINCT sha256(text)) AS missing FROM {_REPAIR} WHERE sha256(text) NOT IN (SELECT digest FROM {_LOOKUP})")
 def missing_targets(spark, sf_dir):
-    return splits.missing_targets(table(spark, sf_dir, "documents"), splits.split_lookup(_source(spark, sf_dir), "text"), "text")
+    return splits.missing_targets(_targets(spark, sf_dir), splits.split_lookup(_source(spark, sf_dir), "text"), "text")
 
 
 @query("SELECT doc_id, doc_id % 4 = 0 AS is_truncated FROM documents")
@@ -294,7 +301,7 @@ def penalized_mean(spark, sf_dir):
 
 
 _WON = f"""(SELECT evaluation_index, model AS winner FROM (SELECT *, row_number() OVER (PARTITION BY evaluation_index
-    ORDER BY pixel_mse, list_position({MODELS}, model)) AS r FROM ({SCORES_SQL})) WHERE r = 1)"""
+    ORDER BY pixel_mse, list_position({MODELS}, model)) AS r FROM ({SCORES_SQL}) WHERE pixel_mse IS NOT NULL) WHERE r = 1)"""
 
 
 @query(f"SELECT evaluation_index, winner FROM {_WON}")
@@ -372,5 +379,5 @@ def corruption_engine(spark, sf_dir):
 
 @query()
 def truncated_engine(spark, sf_dir):
-    rows = corruption_engine(spark, sf_dir).where("corruption_level = 'hard'").withColumn("chunk", F.floor(F.regexp_extract("filename", r"\d+", 0).cast("long") / 1000))
-    return repair.truncated_rows(rows.withColumn("key", F.regexp_extract("filename", r"\d+", 0).cast("long")), "key", "chunk")
+    rows = corruption_engine(spark, sf_dir).where("corruption_level = 'hard'")
+    return repair.truncated_rows(rows.withColumn("key", F.regexp_extract("filename", r"\d+", 0).cast("long")), "key", 1000)

@@ -23,6 +23,8 @@ PACKAGED = _struct(filename=_S, svg=_S, corrupted_svg=_S, corruption_level=_S, r
 PUBLISHED_BASE = ("filename", "svg", "text", "dataset")
 PUBLISHED_REPAIR = ("filename", "svg", "corrupted_svg", "dataset")
 RESULTS = _struct(evaluation_index=_L, filename=_S, prediction_has_svg=_B, prediction_is_valid_svg=_B, prediction_rendered=_B, pixel_mse=_D)
+EXAMPLE = _struct(output_index=_L, evaluation_index=_L, filename=_S, image_path=_S, svg_path=_S)
+GENERATED = _struct(output_index=_L, text=_S, latency_seconds=_D, request_error=_S)
 MESSAGES = "array<struct<role:string,content:array<struct<type:string,text:string>>>>"
 
 

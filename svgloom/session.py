@@ -42,6 +42,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or getattr(spark.sparkContext, "_svgloom_shared", None)
     if base is None:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="svgloom-shared-")
         spark.sparkContext._svgloom_shared = base
     return base if "://" in base else "file://" + base if base.startswith("/") else base
@@ -58,9 +60,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by :func:`new_folder`."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

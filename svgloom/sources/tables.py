@@ -15,6 +15,25 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder into a parent that is made if need be."""
+    (a, fs), (b, _) = _place(spark, source), _place(spark, target)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def first_existing(spark: SparkSession, *paths: str) -> str:
     """The first path that is there: the usual one, else an older place."""
     for p in paths:
@@ -39,6 +58,21 @@ def present_splits(spark: SparkSession, root: str, names=config.SPLIT_PRIORITY)
     return out, [n for n in names if n not in found]
 
 
+def sample(spark: SparkSession, where: str | DataFrame | dict[str, DataFrame], spec: config.Source, key: str, size: int | None = None, seed: int = config.SEED, streaming: bool = True) -> DataFrame:
+    """The seeded sample of a source given as a stored table, a table in code, or one table for each split.
+
+    ``streaming`` reads each split once and lazily; otherwise the table is persisted first, for a source that is slow to read and has many splits.
+    """
+    if isinstance(where, dict):
+        df = None
+        for name, part in where.items():
+            part = part.withColumn("split", F.lit(name))
+            df = part if df is None else df.unionByName(part)
+    else:
+        df = dataset(spark, where) if isinstance(where, str) else where if "split" in where.columns else where.withColumn("split", F.lit("train"))
+    return sampled(df if streaming else df.persist(), spec, key, size, seed)
+
+
 def sampled(df: DataFrame, spec: config.Source, key: str, size: int | None = None, seed: int = config.SEED) -> DataFrame:
     """For each split of a source a seeded sample: of the size asked for, else of the source's scan size."""
     present = {r.split for r in df.select("split").distinct().collect()}
@@ -65,13 +99,26 @@ def chunks(spark: SparkSession, root: str, dataset_key: str | None = None) -> Da
     return filled.withColumn("dataset", F.coalesce("dataset", F.lit(dataset_key))) if dataset_key else filled
 
 
+def below(spark: SparkSession, root: str):
+    """The path of a row's file below ``root``, so that no folder above it counts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace(F.expr("try_url_decode(replace(_metadata.file_path, '+', '%2B'))"), r"^[^:/]+:(//[^/]*)?", "")
+    return F.when(F.startswith(plain, F.lit(full + "/")), F.substr(plain, F.lit(len(full) + 2))).otherwise(plain)
+
+
+def of_sources(df: DataFrame, keys, column: str = "dataset") -> DataFrame:
+    """The rows of these sources: a membership test that reaches the scan."""
+    return df.where(F.col(column).isin(*keys))
+
+
 def repair_chunks(spark: SparkSession, *roots: str) -> DataFrame:
-    """Repair rows of all chunks under these roots with their path; roots that are not there are skipped."""
+    """Repair rows of all chunks under these roots with their path below the root; roots that are not there are skipped."""
     out = spark.createDataFrame([], schemas.REPAIR).withColumn("path", F.lit(""))
     for root in roots:
         if exists(spark, root):
             found = spark.read.schema(schemas.REPAIR).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(root)
-            out = out.unionByName(found.select("*", F.col("_metadata.file_path").alias("path")).where(F.col("path").rlike("/chunk_[^/]*/")))
+            out = out.unionByName(found.select("*", below(spark, root).alias("path")).where(F.col("path").rlike("(^|/)chunk_[^/]*/")))
     return out
 
 
@@ -80,6 +127,18 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"tasks struct<text:{entry},image:{entry},repair:{entry}>").option("multiLine", True).json(path)
 
 
+def examples(spark: SparkSession, manifest_path: str, root: str, task: str = "image") -> DataFrame:
+    """The manifest's examples with the paths of their target files, ``root/NNNN/target.png`` and ``.svg``; one that lacks a file is an error."""
+    from svgloom.operators import evaluation
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "target.*").load(root).select("path")
+    number = F.regexp_extract("path", r"/(\d+)/target\.(?:png|svg)$", 1)
+    found = listed.where(number != "").groupBy(number.cast("long").alias("evaluation_index")).agg(F.max(F.when(F.endswith("path", F.lit(".png")), F.col("path"))).alias("image_path"), F.max(F.when(F.endswith("path", F.lit(".svg")), F.col("path"))).alias("svg_path"))
+    rows = evaluation.manifest_examples(manifest(spark, manifest_path), task).join(found, "evaluation_index", "left")
+    lacking = F.concat(F.lit("target files are missing for evaluation index "), F.col("evaluation_index").cast("string"))
+    return rows.where((F.col("image_path").isNotNull() & F.col("svg_path").isNotNull()) | F.raise_error(lacking).cast("boolean")).select(*schemas.EXAMPLE.names)
+
+
 def results(spark: SparkSession, pattern: str) -> DataFrame:
     """Result files, one for each example; output_index comes from the folder's number."""
     extra = schemas.T.StructType([*schemas.RESULTS.fields, schemas.T.StructField("latency_seconds", schemas.T.DoubleType()), schemas.T.StructField("request_error", schemas.T.StringType())])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -21,25 +21,37 @@ def run_new_files(spark: SparkSession, source: str, schema, work: Callable[[Data
     return query
 
 
+class _TargetReached(Exception):
+    pass
+
+
 def run_until_target(spark: SparkSession, source: str, schema, work: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, target: int) -> int:
-    """Batches of new files until ``target`` kept rows are stored; returns how many there are. Each batch is a chunk of the sink."""
+    """Batches of new files until ``target`` kept rows are stored; returns how many there are. Each batch is a chunk of the sink.
+
+    A batch that begins when the target is reached ends the query before its files are done: a later run with a
+    higher target reads them. Only what a batch writes is counted again.
+    """
     from svgloom.sources import tables
 
-    def kept() -> int:
-        return spark.read.parquet(sink).where("keep").count() if tables.exists(spark, sink) else 0
+    def kept(where: str) -> int:
+        return spark.read.parquet(sink).where("keep").where(where).count() if tables.exists(spark, sink) else 0
 
-    have = [kept()]
+    have: list[int] = [kept("true")]
 
     def batch(df: DataFrame, number: int) -> None:
-        if have[0] < target:
-            work(df).write.mode("overwrite").parquet(f"{sink}/chunk={number:06d}")
-            have[0] = kept()
-
+        if have[0] >= target:
+            raise _TargetReached(f"{have[0]} rows are kept")
+        before = kept(f"chunk = {number}")  # of a run that was cut off
+        work(df).write.mode("overwrite").parquet(f"{sink}/chunk={number:06d}")
+        have[0] += kept(f"chunk = {number}") - before
+
+    if have[0] >= target:
+        return have[0]
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    try:
+        query.awaitTermination()
+    except StreamingQueryException as e:
+        if _TargetReached.__name__ not in str(e):
+            raise
     return have[0]
-
-
-def running_totals(stream: DataFrame, ts: str, by: str, value: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Counts and sums of a stream by window and group, with late rows up to a bound."""
-    return stream.withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count(F.lit(1)).alias("rows"), F.sum(value).alias("total"))
