@@ -174,6 +174,9 @@ class NumpyRenderer:
 
     def _paint(self, window: tuple[slice, slice], mask: np.ndarray, value: tuple[int, int, int], opacity: float) -> None:
         pixels = self.pixels[window]
+        if opacity == 1:
+            pixels[mask] = (*value, 255)
+            return
         under, alpha = pixels[mask], opacity
         left = under[:, 3:] / 255 * (1 - alpha)
         total = np.maximum(alpha + left, 1e-9)
