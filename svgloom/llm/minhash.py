@@ -1,14 +1,17 @@
 """Near-duplicates by an inverted join on MinHash signature coordinates, confirmed on full shingle sets.
 
 A document's set: the distinct shingles of four words (or another number) of its lower-cased text. Documents
-with equal sets form a class, which its smallest doc_id stands for; only classes are
-compared. A signature has ``COORDINATES`` coordinates, each the hash of ``ROWS`` MinHash
-values, so that two sets of Jaccard similarity s agree in a coordinate with
-probability s ** ROWS. A class is posted under each pair of coordinate and value. Two
-classes are candidates if they collide in ``MATCHES`` coordinates or more: at the
-threshold 0.8 a pair is missed with a probability under 1e-5.
-
-Lists are merged by their length. A short list (up to ``SHORT``) gives all its pairs. A long
+with equal sets form a class; only classes are compared. A signature has ``COORDINATES`` coordinates, each a MinHash value of 64
+bits: two sets of Jaccard similarity s agree in each with probability s. A class is posted under each pair of coordinate and
+value, and two classes are candidates if they collide in ``MATCHES`` coordinates or more: at the threshold 0.8 a pair is missed with
+probability of 1.3e-5.
+
+Collisions are counted by prefix and skip: with a class's postings in order of the length of their lists, two
+classes that collide in MATCHES coordinates share a list among the first COORDINATES - MATCHES + 1 of each. Lists of one member fill
+that prefix first, so a class without a near-duplicate drops out before any pair is made. Only lists of prefixes are merged into
+pairs; the longer ones are skipped, and a pair's collisions in them are looked up in the two signatures.
+
+A short list (up to ``SHORT``) gives all its pairs. A long
 list gives the pairs of its first member only; once those are confirmed, a list whose
 members are in one component is skipped. From the others go those members of whose shingles too many are
 in no other (they can link with none). What then shares lists is a family: its members
@@ -19,9 +22,8 @@ one comparison for each member, and only members that are near the group but not
 A pair is confirmed by 100 * intersection >= 80 * union over the full sets.
 
 Null or empty text, or text without a word: an empty set, linked with nothing. Null
-doc_id: no links, a component of its own (null). Rows that repeat a doc_id are kept;
-they share one set if their text is equal; otherwise the id is posted under its largest set and linked by
-any of its texts. An empty table gives an empty result.
+doc_id: no links, a component of its own (null). Rows that repeat a doc_id are kept, each with
+the size of its own set; all texts of an id are compared, and what any of them links with is linked with the id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from svgloom.session import materialize
 
@@ -41,10 +44,9 @@ from .components import components
 
 SHINGLE = 4
 PERCENT = 80
-COORDINATES = 28
-ROWS = 4
+COORDINATES = 48
 #: Coordinates in which a candidate pair agrees.
-MATCHES = 2
+MATCHES = 26
 #: Members of a list that is compared in full.
 SHORT = 8
 #: Members of a family in one part: two parts are compared in a task.
@@ -53,8 +55,8 @@ PART = 512
 _RANDOMS = byte_randoms(21)
 _RNG = np.random.default_rng(22)
 _PLACE = _RNG.integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULTIPLY = _RNG.integers(1, 2**31, COORDINATES * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(0, 2**32, COORDINATES * ROWS, dtype=np.uint64).astype(np.uint32)
+_MULTIPLY = _RNG.integers(1, 2**62, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIP = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 #: Shingles that one step of the signature handles: they stay in the processor's cache.
 _BLOCK = 1 << 16
 
@@ -93,20 +95,15 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
         starts = (ends[a:b] - sizes[a:b]) - (ends[a - 1] if a else 0)
         ident[a:b, 0] = np.add.reduceat(mix(x ^ np.uint64(0x1234567)), starts)
         ident[a:b, 1] = np.add.reduceat(mix(x + np.uint64(0x9876543)), starts)
-        y = (x >> np.uint64(32)).astype(np.uint32)
-        low = np.empty((COORDINATES * ROWS, b - a), np.uint32)
-        for k in range(COORDINATES * ROWS):
-            np.minimum.reduceat((y ^ _FLIP[k]) * _MULTIPLY[k], starts, out=low[k])
+        x = mix(x)
         for j in range(COORDINATES):
-            v = np.zeros(b - a, np.uint64)
-            for r in range(ROWS):
-                v = mix(v + low[j * ROWS + r].astype(np.uint64) + np.uint64(1 + r))
-            coords[a:b, j] = v
+            # the high bits of a product depend on all bits of its factors
+            coords[a:b, j] = np.minimum.reduceat((x ^ _FLIP[j]) * _MULTIPLY[j], starts)
         a = b
     return coords.view(np.int64), ident.view(np.int64), sizes
 
 
-_SET_SCHEMA = "doc_id long, n_shingles long, s1 long, s2 long, coords array<long>"
+_SET_SCHEMA = "doc_id long, th long, n_shingles long, s1 long, s2 long, coords array<long>"
 
 
 def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -127,23 +124,32 @@ def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(ids[take, 0], pa.int64(), mask=none),
                         pa.array(ids[take, 1], pa.int64(), mask=none),
                         lists,
                     ],
-                    names=["doc_id", "n_shingles", "s1", "s2", "coords"],
+                    names=["doc_id", "th", "n_shingles", "s1", "s2", "coords"],
                 )
 
-    return narrow(docs).mapInArrow(run, _SET_SCHEMA)
+    return _hashed(docs).select("doc_id", "text", "th").mapInArrow(run, _SET_SCHEMA)
+
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """Id, text and a hash of the text, which tells texts of one id apart."""
+    return narrow(docs).withColumn("th", F.xxhash64("text"))
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose full sets meet the threshold; the texts of both are joined to the pair."""
-    texts = docs.where(F.col("doc_id").isNotNull())
-    side_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    side_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    # one shuffle of the texts serves both sides, at every size
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full sets meet the threshold; the texts of both are joined to the pair."""
+    texts = _hashed(docs).where(F.col("doc_id").isNotNull())
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "cls")
+    named = wanted.join(classes.select("cls", "doc_id", "th"), "cls")
+    # only texts that are in a pair move, once for both sides, at every size
+    held = materialize(named.hint("merge").join(texts, ["doc_id", "th"]).dropDuplicates(["cls"]).select("cls", "text"), "pair-texts")
+    side_b = held.select(F.col("cls").alias("b"), F.col("text").alias("text_b"))
+    side_a = held.select(F.col("cls").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.hint("merge").join(side_b, "b").hint("merge").join(side_a, "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,23 +186,39 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     texts = narrow(docs)
     base = materialize(signed(docs, size), "signed")
     full = base.where("n_shingles > 0 and doc_id is not null")
-    one = full.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "s1", "s2", "coords")).alias("x")).select("doc_id", "x.*")
-    classes = one.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "coords")).alias("x")).select(F.col("x.doc_id").alias("cls"), F.col("n_shingles").alias("n"), "s1", "s2", F.col("x.coords").alias("coords"))
-    classes = materialize(classes, "classes")
-    links = _links(classes, texts, size)
-    found = components(links)
-    of_set = classes.join(found, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
-    ids = one.select("doc_id", "s1", "s2", "n_shingles").join(of_set, ["s1", "s2", "n_shingles"]).select("doc_id", F.col("n_shingles").alias("set_size"), "component_id")
+    identity = ["s1", "s2", "n_shingles"]
+    sets = full.groupBy(*identity).agg(F.min(F.struct("doc_id", "th", "coords")).alias("x")).select(*identity, "x.*")
+    # class numbers are in order of the smallest ids, so the smallest class of a component has its smallest id
+    numbered = sets.orderBy("doc_id", "th").withColumn("cls", F.monotonically_increasing_id())
+    classes = materialize(numbered.select("cls", F.col("n_shingles").alias("n"), "s1", "s2", "doc_id", "th", "coords"), "classes")
+    of_id = full.select("doc_id", *identity).distinct().join(classes.select("cls", F.col("n").alias("n_shingles"), "s1", "s2"), identity).select("doc_id", "cls")
+    first = of_id.groupBy("doc_id").agg(F.min("cls").alias("cls"), F.max("cls").alias("last"))
+    several = of_id.join(first.where("cls <> last").select("doc_id", F.col("cls").alias("a")), "doc_id").select("a", F.col("cls").alias("b"))
+    found = components(_links(classes, texts, size).union(several))
+    smallest = classes.select("cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("component"))
+    named = smallest.join(classes.select(F.col("cls").alias("component"), F.col("doc_id").alias("component_id")), "component").select("cls", "component_id")
+    ids = first.select("doc_id", "cls").join(named, "cls").select("doc_id", "component_id")
     out = base.select("doc_id", "n_shingles").join(ids, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.coalesce("set_size", "n_shingles").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _posted(classes: DataFrame) -> DataFrame:
+    """The postings of prefixes (cls, j, v) with size and first member of their lists, which hold two classes or more."""
+    posted = classes.select("cls", F.posexplode("coords").alias("j", "v"))
+    lists = posted.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(posted.join(lists, ["j", "v"]), "shared")
+    # lists of one member come first in a prefix; a class has COORDINATES postings at most
+    by_length = Window.partitionBy("cls").orderBy("size", "j", "v")
+    placed = shared.withColumn("place", F.row_number().over(by_length)).withColumn("alone", COORDINATES - F.count(F.lit(1)).over(Window.partitionBy("cls")))
+    prefix = placed.where(F.col("alone") + F.col("place") <= COORDINATES - MATCHES + 1).select("cls", "j", "v")
+    kept = prefix.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")).where("size > 1")
+    return materialize(prefix.join(kept, ["j", "v"]), "lists")
 
 
 def _links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Confirmed links, enough of them for all components."""
-    posted = classes.select("cls", F.posexplode("coords").alias("j", "v"))
-    lists = posted.groupBy("j", "v").agg(F.count(F.lit(1)).alias("size"), F.min("cls").alias("pivot")).where("size > 1")
-    members = materialize(posted.join(lists, ["j", "v"]), "lists")
+    members = _posted(classes)
     short = members.where(F.col("size") <= SHORT)
     x, y = short.select("j", "v", F.col("cls").alias("a")), short.select("j", "v", F.col("cls").alias("b"))
     pairs = x.join(y, ["j", "v"]).where("a < b").select("a", "b")
@@ -209,7 +231,7 @@ def _links(classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     live = _live(left, found)
     if live is None:
         return links
-    held = _shingles(live.select("cls").distinct(), texts, size)
+    held = _shingles(live.select("cls").distinct(), classes, texts, size)
     able = _able(classes, held)
     live = _live(left.join(able.select("cls"), "cls", "left_semi"), found)
     if live is None:
@@ -274,10 +296,10 @@ def _linked(x: list[np.ndarray], y: list[np.ndarray], columns: int = 1 << 14) ->
     return (both > 0) & (100 * both >= PERCENT * (sizes - both))
 
 
-def _shingles(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def _shingles(ids: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """cls and g: a row for each shingle of each of these classes."""
-    ids = materialize(ids.select(F.col("cls").alias("doc_id")), "live-ids")
-    mine = ids.hint("merge").join(texts.where(F.col("doc_id").isNotNull()), "doc_id")
+    named = materialize(ids.join(classes.select("cls", "doc_id", "th"), "cls"), "live-ids")
+    mine = named.hint("merge").join(_hashed(texts).where(F.col("doc_id").isNotNull()), ["doc_id", "th"]).select("cls", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -286,8 +308,8 @@ def _shingles(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(data, offs, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names[a : a + len(sets)], [len(x) for x in sets])), pa.array(np.concatenate(sets).view(np.int64))], names=["cls", "g"])
 
-    # rows that repeat an id give its shingles once; other texts under one id are one set here, which can only add comparisons' work
-    return materialize(mine.select("doc_id", "text").mapInArrow(run, "cls long, g long").distinct(), "live-shingles")
+    # rows that repeat an id and a text give its shingles once
+    return materialize(mine.mapInArrow(run, "cls long, g long").distinct(), "live-shingles")
 
 
 def _able(classes: DataFrame, held: DataFrame) -> DataFrame:
@@ -310,7 +332,7 @@ def _able(classes: DataFrame, held: DataFrame) -> DataFrame:
 
 def _compare(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     candidates = materialize(_agree(pairs.distinct(), classes), "candidates")
-    return materialize(_confirm(candidates, texts, size), "links")
+    return materialize(_confirm(candidates, classes, texts, size), "links")
 
 
 def _live(lists: DataFrame, found: DataFrame) -> DataFrame | None:

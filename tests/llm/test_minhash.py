@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+import numpy as np
 
 from svgloom.llm import minhash as mh
 
@@ -58,6 +59,35 @@ def test_edges(spark):
     assert mh.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_all_texts_of_an_id_are_linked(spark):
+    rng = random.Random(9)
+    long, short = (" ".join(f"w{rng.randint(0, 999)}" for _ in range(n)) for n in (60, 20))
+    docs = spark.createDataFrame([(1, long), (1, short), (2, short), (3, long + " end"), (4, "other words stand here alone"), (1, None)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in mh.near_duplicates(docs).collect())
+    assert got == [(1, 0, 1, True), (1, 17, 1, True), (1, 57, 1, True), (2, 17, 1, False), (3, 58, 1, False), (4, 2, 4, True)]
+
+
+def test_pairs_at_the_threshold_collide_often_enough():
+    rng = np.random.default_rng(3)
+    few = 0
+    for _ in range(300):
+        common = rng.integers(0, 2**63, 80, dtype=np.uint64)
+        pair = [np.unique(np.concatenate([common, rng.integers(0, 2**63, 10, dtype=np.uint64)])) for _ in range(2)]
+        coords, _, _ = mh.signatures(pair)
+        few += int((coords[0] == coords[1]).sum() < mh.MATCHES)
+    assert few == 0
+
+
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [*group(rng, 25), *group(rng, 25, edits=8), *group(rng, 20, 30)]
+    rows = list(enumerate(texts, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for short in (2, 1000):
+        monkeypatch.setattr(mh, "SHORT", short)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in mh.near_duplicates(docs).collect()} == brute(rows)
+
+
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
