@@ -42,7 +42,7 @@ def expected(rows, items):
     for i in ids:
         ws = words(texts[i])
         held = set(ws)
-        if find(i) == i and not any(len(it) >= 5 and sum(w in held for w in it) >= len(it) - len(it) // 5 and edits(it, ws) <= len(it) * 20 // 100 for it in map(words, items)):
+        if find(i) == i and not any(it and sum(w in held for w in it) >= len(it) - len(it) // 5 and edits(it, ws) <= len(it) * 20 // 100 for it in map(words, items)):
             kept[i] = texts[i]
     return kept
 
