@@ -10,7 +10,7 @@ from .langid import op4_language_id
 from .license_scan import op6_license_scan
 from .line_dedup import OP10_SQL, op10_line_dedup
 from .minhash import OP2_SQL, op2_minhash
-from .suffix_dedup import op1_suffix_dedup
+from .suffix_dedup import OP1_SQL, op1_suffix_dedup
 from .token_files import op7_token_files
 
 QUERIES = {
@@ -28,6 +28,7 @@ QUERIES = {
 
 #: DuckDB SQL of those that SQL can express.
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op2_minhash": OP2_SQL,
     "op5_cap_dedup": OP5_SQL,
     "op10_line_dedup": OP10_SQL,

@@ -25,9 +25,9 @@ later copies.
 A key with more than ``HOT`` distinct segments is dealt out further by a hash of each string,
 so that no task holds an unbounded collection.
 
-Null text counts as empty. Null doc_id is the smallest id. Rows that repeat an id and
+Null text counts as empty. Null doc_id is the smallest id (ids under -2 ** 63 + 2 ** 45 are not told from it). Rows that repeat an id and
 a text are one document (both rows stay, with one result); with other texts they are told apart and ordered by
-``TEXT_BITS`` bits of a hash of the text. An empty table gives an empty result.
+a hash of the text: all its 64 bits where the id is null, ``TEXT_BITS`` of them where ids repeat. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -147,8 +147,9 @@ def segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    text_bits = F.shiftrightunsigned(F.xxhash64("text"), 64 - TEXT_BITS)
-    return narrow(docs).select(F.coalesce("doc_id", F.lit(_FIRST_ID)).alias("d"), text_bits.alias("t"), "doc_id", "text")
+    h = F.xxhash64("text")
+    of_null = F.lit(_FIRST_ID) + h.bitwiseAND((1 << (64 - TEXT_BITS)) - 1)
+    return narrow(docs).select(F.coalesce("doc_id", of_null).alias("d"), F.shiftrightunsigned(h, 64 - TEXT_BITS).alias("t"), "doc_id", "text")
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -462,3 +463,18 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
                 )
 
     return marked(table(spark, sf_dir, "documents")).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: Bytes are pairs of hexadecimal digits here; texts are cut into stretches first, as a place far into a long text is slow to find.
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, c, substr(x, 2000 * c + 1, 2000 + 2 * ({LENGTH} - 1)) AS part FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2000 + 1)) AS c FROM d)),
+p AS (SELECT doc_id, 1000 * c + j AS i, hash(substr(part, 2 * j + 1, 2 * {LENGTH})) AS h FROM (SELECT doc_id, c, part, unnest(range(0, least(1000, len(part) // 2 - {LENGTH} + 1))) AS j FROM s)),
+l AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM p) WHERE nth > 1),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, (coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), {LENGTH} + 1) > {LENGTH})::INT AS new FROM l)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM n GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT d.doc_id, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans FROM d JOIN g USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -91,3 +91,20 @@ def test_query(spark):
         raw = texts[r.doc_id]
         kept = b"".join(raw[a:b] for a, b in zip([0, *[y for _, y in cut]], [*[x for x, _ in cut], len(raw)]))
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), sum(y - x for x, y in cut), len(cut), hashlib.sha256(kept).hexdigest())
+
+
+def test_many_texts_without_an_id_are_told_apart(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.random()) for _ in range(9)) for _ in range(3000)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(None, texts[0])], "doc_id long, text string")
+    got = sd.dedup_bytes(docs).collect()
+    assert len(got) == 3001 and not any(r.spans for r in got)
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(f"SELECT doc_id, n_bytes, n_removed, n_spans, kept_sha256 FROM ({sd.OP1_SQL})").fetchall())
+    got = sorted(tuple(r) for r in sd.op1_suffix_dedup(spark, sf).collect())
+    assert got == want and any(r[2] for r in got)
