@@ -70,3 +70,25 @@ def test_sql(spark):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     want = sorted(con.execute(f"SELECT vec_id, n_links, component_id, kept FROM ({cd.OP5_SQL})").fetchall())
     assert sorted(tuple(r) for r in cd.op5_cap_dedup(spark, sf).collect()) == want
+
+
+def test_recall_at_the_threshold():
+    # pairs at exactly the least cosine, in codes for few and for very many vectors
+    rng = np.random.default_rng(4)
+    for dimension, vectors in ((16, 10_000), (64, 500), (64, 1_000_000), (64, 50_000_000), (256, 1_000_000)):
+        code = cd.Code(dimension, vectors)
+        x = rng.standard_normal((400, dimension))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((400, dimension))
+        y -= (x * y).sum(axis=1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        near = cd.COSINE * x + np.sqrt(1 - cd.COSINE**2) * y
+        found = np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(code.filters(x), code.filters(near))])
+        print("recall", dimension, vectors, found)
+        assert found >= 0.98, (dimension, vectors, found)
+
+
+def test_other_columns_may_have_any_name(spark):
+    rows = [(1, [1.0, 0.0], "a", 5, 6.0), (2, [1.0, 0.0], "a", 7, 8.0), (3, [0.0, 1.0], "a", None, None), (4, None, "a", 1, 1.0), (5, [1.0, 0.0], None, 1, 1.0)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, n_links int, rep double")
+    assert sorted(tuple(r) for r in cd.near_duplicates(v).collect()) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
