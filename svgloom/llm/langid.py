@@ -4,8 +4,8 @@ A text's byte 3-grams and 4-grams (ASCII lower-cased, other ASCII than letters a
 blank, n-grams that begin with two blanks left out) are hashed to buckets with an
 embedding each; the mean embedding goes through a linear softmax. Embeddings and
 weights are trained together by stochastic gradient descent in numpy on a bounded
-sample: at most ``ROWS_A_LANGUAGE`` rows of each of the ``MOST_LANGUAGES`` most frequent
-labels. One training row in five is held back to calibrate a temperature and the
+sample: at most ``ROWS_A_LANGUAGE`` rows, with at most ``MOST_TRAINING_BYTES`` bytes each, of each of the ``MOST_LANGUAGES`` most frequent
+labels, and ``MOST_ROWS`` in all, so that the driver holds ``MOST_ROWS * MOST_TRAINING_BYTES`` bytes (400 MB) at the very most. One training row in five is held back to calibrate a temperature and the
 score under which a prediction is rejected.
 
 As embedding and weights are linear, a worker gets their product: a score for each
@@ -34,7 +34,10 @@ from .common import narrow, pieces, table
 #: Bound of the training sample: rows of each language, languages, and bytes of a text that may be in it.
 ROWS_A_LANGUAGE = 900
 MOST_LANGUAGES = 200
-MOST_TRAINING_BYTES = 200_000
+MOST_ROWS = 20_000
+MOST_TRAINING_BYTES = 20_000
+#: How many times the rows that are wanted of a language a first cut by hash lets through.
+SPARE = 3
 DIMENSIONS = 16
 BITS = 17
 EPOCHS = 4
@@ -178,9 +181,15 @@ def training_sample(docs: DataFrame, lang_col: str = "lang") -> list[tuple[bytes
     """The bounded sample: the first rows of each language by a hash of the id."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     keyed = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.octet_length("text").alias("n")).where(F.col("n") <= MOST_TRAINING_BYTES)
-    common = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).select("lang")
+    # one row for each language
+    common = keyed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    most = min(ROWS_A_LANGUAGE, MOST_ROWS // max(1, len(common)))
+    # a cut by hash first, so that no task sorts all rows of a language
+    shares = docs.sparkSession.createDataFrame([(r.lang, min(1.0, SPARE * most / r["count"])) for r in common], "lang string, share double")
+    unit = F.xxhash64("doc_id") / F.lit(2.0**64) + F.lit(0.5)
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = keyed.join(F.broadcast(common), "lang").withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= ROWS_A_LANGUAGE).select("doc_id", "lang")
+    able = keyed.join(F.broadcast(shares), "lang").where((F.col("share") >= 1) | (unit < F.col("share")))
+    chosen = able.withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= most).select("doc_id", "lang")
     texts = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text").cast("string"), "UTF-8").alias("raw"), F.col(lang_col).cast("string").alias("lang"))
     # both sides are bounded by the sample's size
     rows = texts.join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).where(F.length("raw") <= MOST_TRAINING_BYTES).collect()
