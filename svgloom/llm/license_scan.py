@@ -7,7 +7,7 @@ lower-cased); a multinomial logistic regression, trained by stochastic gradient
 descent in numpy, gives a probability to each license family and to a class of unknown
 text. Training paragraphs are made from the notices below (set in other text, with words
 lost or replaced), from sentences that speak of licenses without granting one, and from
-lines of at most ``NEGATIVE_ROWS`` documents; every fifth is held back to calibrate a temperature and the
+lines of at most ``NEGATIVE_ROWS`` documents of at most ``NEGATIVE_BYTES`` bytes (``READ_LINES`` lines of them are read, and ``NEGATIVE_LINES`` without a notice are trained on); every fifth is held back to calibrate a temperature and the
 probability under which a paragraph counts as unknown. A family that is probable against unknown text
 stands only if what is read holds ``CONFIRMED`` of the word 1- and 2-grams of one of that family's
 notices. Of several the most similar is taken, and the words before and after its notice are
@@ -32,7 +32,8 @@ from .decontaminate import word_hashes
 
 #: Bounds of what is trained on: documents that negative lines come from, bytes of such a document, lines, variants of a notice.
 NEGATIVE_ROWS = 400
-NEGATIVE_BYTES = 200_000
+NEGATIVE_BYTES = 20_000
+READ_LINES = 16_000
 NEGATIVE_LINES = 4000
 VARIANTS = 40
 WINDOW = 60
@@ -63,6 +64,11 @@ NOTICES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-ND": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "Licensed under the Eclipse Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0"),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "Licensed under the zlib License.", "SPDX-License-Identifier: Zlib"),
+    "BSL-1.0": ("Distributed under the Boost Software License, Version 1.0.", "SPDX-License-Identifier: BSL-1.0"),
+    "Artistic-2.0": ("This program is free software; you may redistribute it under the terms of the Artistic License 2.0.", "SPDX-License-Identifier: Artistic-2.0"),
+    "EUPL-1.2": ("Licensed under the European Union Public Licence, version 1.2.", "SPDX-License-Identifier: EUPL-1.2"),
     "All-rights-reserved": ("All rights reserved.", "Copyright by the authors. All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher."),
 }
 
@@ -260,9 +266,11 @@ def fit(negatives: list[str], seed: int = 3) -> Scanner:
 
 def train(docs: DataFrame) -> Scanner:
     """A scanner whose negative lines come from a bounded sample of the documents."""
-    usable = narrow(docs).where(F.octet_length("text") <= NEGATIVE_BYTES)
-    rows = usable.orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id", "text").select("text").limit(NEGATIVE_ROWS).collect()
-    return fit([x for r in rows for x in r.text.split("\n")][: 4 * NEGATIVE_LINES])
+    usable = narrow(docs).where(F.octet_length("text") <= NEGATIVE_BYTES).withColumn("h", F.xxhash64("doc_id", F.lit(6))).withColumn("th", F.xxhash64("text"))
+    # ids first: each partition sends numbers, and only the texts of the chosen rows come to the driver
+    chosen = usable.select("h", "th").orderBy("h", "th").limit(NEGATIVE_ROWS)
+    rows = usable.join(F.broadcast(chosen.distinct()), ["h", "th"]).select("h", "th", "text").dropDuplicates(["h", "th"]).orderBy("h", "th").limit(NEGATIVE_ROWS).collect()
+    return fit([x for r in rows for x in r.text.split("\n")][:READ_LINES])
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:

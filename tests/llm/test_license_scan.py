@@ -88,3 +88,16 @@ def test_edges(spark):
     s = ls.train(docs)
     assert sorted((r.doc_id or 0, [x.family for x in r.found]) for r in ls.scan(docs, s).collect()) == [(0, ["MIT"]), (1, []), (1, []), (2, ["All-rights-reserved"])]
     assert ls.scan(docs.limit(0), ls.train(docs.limit(0))).count() == 0
+
+
+def test_more_families_in_comments(spark):
+    s = ls.train(table(spark, SF, "documents"))
+    epl = "/*\n * This program and the accompanying materials are\n * made available under the terms of the Eclipse Public\n * License 2.0 which is available at somewhere\n */\nint x;"
+    zlib = "# This software is provided 'as-is', without any express or implied\n# warranty. In no event will the authors be held liable for any damages\n# arising from the use of this software.\n#\n# code"
+    boost = "// Distributed under the Boost\n// Software License, Version 1.0.\n"
+    assert [{f for _, f in x} for x in scan_texts(s, [epl, zlib, boost])] == [{"EPL-2.0"}, {"Zlib"}, {"BSL-1.0"}]
+
+
+def test_the_sample_is_bounded_and_moves_no_long_text(spark):
+    docs = spark.createDataFrame([(k, f"line {k} of this text\nand more") for k in range(600)] + [(1000, "x" * 30_000), (None, None)], "doc_id long, text string")
+    assert ls.train(docs) is not None and ls.train(docs.limit(0)) is not None
