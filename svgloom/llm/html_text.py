@@ -41,6 +41,7 @@ _APART = frozenset("text mtd".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul xmp".split())
 _SPACED = frozenset("blockquote dl fieldset figure h1 h2 h3 h4 h5 h6 hr menu ol p pre table ul xmp".split())
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul xmp".split())
+_PHRASES = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _HEAD_PARTS = frozenset("base link meta noscript script style template title".split())
 _SCOPE = frozenset("table td th caption html template button".split())
@@ -155,7 +156,8 @@ def parse(html: str) -> Node:
         elif tag in ("table", *_ROWS, "tr", "td", "th", "caption"):
             close({tag}, frozenset() if tag == "table" else frozenset(("table",)))
         elif tag not in ("html", "body"):
-            close({tag}, frozenset(("table", "td", "th", "caption")) - {tag})
+            # the end of a phrase does not end a block that began inside it
+            close({tag}, _BLOCK if tag in _PHRASES else frozenset(("table", "td", "th", "caption")) - {tag})
 
     at, n = 0, len(html)
     while at < n:

@@ -92,3 +92,8 @@ def test_edges(spark):
     pages = spark.createDataFrame([(1, None, "c"), (None, "<p>a", "c"), (1, "", "c")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text or "") for r in ht.extract(pages).collect()) == [(0, "a"), (1, ""), (1, "")]
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def test_the_end_of_a_phrase_ends_no_block():
+    assert t("<div>one <span>two<p>three</span> four</p></div>five") == "one two\n\nthree four\n\nfive"
+    assert t("<b><div>x</b> y</div>") == "x y"
