@@ -21,8 +21,8 @@ holds as many of the item's words as a leak must.
 Colliding windows are confirmed by the exact edit distance of the item to the text
 around the window (semi-global, in words).
 
-Items go to the tasks in blocks of bounded size; each block sees all documents, and documents
-are never shuffled. Items under five words allow no edit: their one piece is the
+Items go to the tasks in blocks of bounded size, ``BLOCKS`` of them with each scan of the documents, whose words are
+hashed once for all of these; documents are never shuffled. Items under five words allow no edit: their one piece is the
 whole item, and the first place of it in a text is told. Items without any word are none. Null or empty text is clean. Null item text is no item. Repeated rows each
 get their row, empty tables empty results, other columns pass through.
 """
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ PIECED = 64
 #: Bounds of a block of items: rows and bytes of text.
 BLOCK_ITEMS = 4096
 BLOCK_BYTES = 8 << 20
+#: Blocks that one scan of the documents looks for.
+BLOCKS = 8
 #: Places of pieces that one numpy step compares with their items.
 PLACES = 1 << 13
 
@@ -181,10 +184,10 @@ class Items:
                 out[e] = sum((text == want[:, j, None]).any(axis=1).astype(np.int64) for j in range(n)) >= n - allowed
         return out
 
-    def leaks(self, data: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        """For each text (item number, edits, first byte, end byte) of the items that it holds, the best place of each."""
+    def leaks(self, data: np.ndarray, offs: np.ndarray, parsed: tuple | None = None) -> list[list[tuple[int, int, int, int]]]:
+        """For each text (item number, edits, first byte, end byte) of the items that it holds, the best place of each. ``parsed`` is ``item_words`` of the texts, if it is known."""
         out: list[list] = [[] for _ in range(len(offs) - 1)]
-        h, starts, ends, rows = item_words(data, offs)
+        h, starts, ends, rows = parsed or item_words(data, offs)
         if not len(h) or not len(self.keys):
             return out
         line, at = padded(h, rows)
@@ -273,18 +276,25 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield Items(ids, texts)
 
 
+def _scans(docs: DataFrame, benchmark: DataFrame) -> Iterator[list]:
+    """Broadcasts of the blocks, those of one scan together."""
+    blocks = item_blocks(benchmark)
+    while sent := [docs.sparkSession.sparkContext.broadcast(pickle.dumps(b)) for b in islice(blocks, BLOCKS)]:
+        yield sent
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, first_byte and end_byte (of the UTF-8 text) of each item that a document holds."""
     source, out = narrow(docs), None
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+    for scan in _scans(docs, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = pickle.loads(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            blocks = [pickle.loads(sent.value) for sent in scan]
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 for a, _, data, offs in pieces(batch, most=1 << 18):
-                    rows = [(ids[a + k], items.ids[i], e, x, y) for k, hits in enumerate(items.leaks(data, offs)) for i, e, x, y in hits]
+                    parsed = item_words(data, offs)
+                    rows = [(ids[a + k], items.ids[i], e, x, y) for items in blocks for k, hits in enumerate(items.leaks(data, offs, parsed)) for i, e, x, y in hits]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=["doc_id", "item_id", "edits", "first_byte", "end_byte"])
 
         found = source.mapInArrow(run, "doc_id long, item_id long, edits long, first_byte long, end_byte long")
@@ -295,17 +305,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all their columns, that hold no item: one pass of filters, without a shuffle."""
+    """The documents, with all their columns, that hold no item: a pass of filters, without a shuffle."""
     narrow(docs)
-    for block in item_blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
+    for scan in _scans(docs, benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            items = pickle.loads(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], scan=scan) -> Iterator[pa.RecordBatch]:
+            blocks = [pickle.loads(sent.value) for sent in scan]
             for batch in batches:
                 for a, b, data, offs in pieces(batch, most=1 << 18):
-                    clean = pa.array([not x for x in items.leaks(data, offs)], pa.bool_())
-                    yield batch.slice(a, b - a).filter(clean)
+                    parsed = item_words(data, offs)
+                    clean = np.ones(b - a, bool)
+                    for items in blocks:
+                        clean &= [not x for x in items.leaks(data, offs, parsed)]
+                    yield batch.slice(a, b - a).filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

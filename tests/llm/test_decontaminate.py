@@ -105,3 +105,15 @@ def test_edges(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert dc.leaks(docs.limit(0), bench).count() == 0 and dc.leaks(docs, bench.limit(0)).count() == 0
     assert dc.drop_contaminated(docs, bench.limit(0)).count() == 6
+
+
+def test_many_blocks_in_several_scans(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [" ".join(rng.choice("abcdefghijklmnop") * 3 + str(rng.randint(0, 99)) for _ in range(rng.randint(1, 30))) for _ in range(50)]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(items)] + [(99, "clean words only")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted(tuple(r) for r in dc.leaks(docs, bench).collect())
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(dc, "BLOCKS", 3)
+    assert sorted(tuple(r) for r in dc.leaks(docs, bench).collect()) == want and {r[0] for r in want} == set(range(50))
+    assert [r.doc_id for r in dc.drop_contaminated(docs, bench).collect()] == [99]
