@@ -207,26 +207,23 @@ class Collection:
         newest, strings = np.arange(m), np.arange(m)  # places of the last round's suffixes, and whose they are
         self.text[self.ends - 1].tofile(self._path("bwt"))
         np.zeros(m, np.uint8).tofile(self._path("lcp"))
+        counts = np.bincount(self.text[self.ends - 1], minlength=258)  # of each symbol in the BWT
+        every = np.arange(m + int(self.ends[-1]), dtype=np.int32)
+        spare = np.empty(len(every), np.int32)  # places in the order, written anew each round
         for j in range(1, int(self.size.max()) + 1):
             bwt, lcp = np.fromfile(self._path("bwt"), self.kind), np.fromfile(self._path("lcp"), np.uint8)
+            at = spare[: len(bwt)]
             # suffixes that begin with a symbol stand in the order of its occurrences in the BWT
             order = np.argsort(bwt, kind="stable")
-            first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=2))])
-            done = int(first[1])  # strings that are complete
+            done = int(counts[0])  # strings that are complete
             goes_on = self.size[strings] >= j
             newest, strings = newest[goes_on], strings[goes_on]
-            symbol = bwt[newest]
-            rank = np.empty(len(newest), np.int64)
-            by_symbol = np.argsort(symbol, kind="stable")
-            number = np.bincount(symbol)
-            cuts = np.concatenate([[0], np.cumsum(number)])
-            for c in np.flatnonzero(number).tolist():
-                mine = by_symbol[cuts[c] : cuts[c + 1]]
-                rank[mine] = first[c] + np.searchsorted(order[first[c] : first[c + 1]], newest[mine])
+            at[order] = every[: len(bwt)]
+            rank = at[newest]
             # common prefixes of the new suffixes and of their successors
-            touched = np.sort(np.concatenate([rank, rank + 1]))[::-1]
-            touched = touched[np.append(True, touched[1:] != touched[:-1])]
-            touched = touched[touched < len(bwt)]
+            beside = np.zeros(len(bwt) + 1, bool)
+            beside[rank] = beside[rank + 1] = True
+            touched = np.flatnonzero(beside[:-1])[::-1]
             touched = touched[bwt[order[touched]] == bwt[order[touched - 1]]]
             pairs = np.empty(2 * len(touched), np.int64)
             pairs[0::2], pairs[1::2] = order[touched - 1] + 1, order[touched] + 1
@@ -238,7 +235,9 @@ class Collection:
             out_bwt, out_lcp = np.empty(total, self.kind), np.empty(total, np.uint8)
             out_bwt[old], out_lcp[old] = bwt, lcp
             before = self.ends[strings] - j - 1
-            out_bwt[place] = np.where(self.size[strings] > j, self.text[before], 0)
+            symbols = np.where(self.size[strings] > j, self.text[before], self.kind(0))
+            out_bwt[place] = symbols
+            counts += np.bincount(symbols, minlength=258)
             out_lcp[place] = 0
             out_lcp[m + touched - done] = np.minimum(least, 254) + 1
             self._write("bwt", out_bwt)
