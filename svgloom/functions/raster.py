@@ -8,6 +8,7 @@ refused rather than left blank. ``default_renderer`` takes cairosvg where that i
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from typing import Protocol
 
 import numpy as np
@@ -144,6 +145,7 @@ class NumpyRenderer:
         x0, y0, bw, bh = box if len(box) == 4 and box[2] > 0 and box[3] > 0 else (0.0, 0.0, w, h)
         self.x = x0 + (np.arange(cols) + 0.5) * bw / cols
         self.y = y0 + (np.arange(rows)[:, None] + 0.5) * bh / rows
+        self.xs, self.ys = self.x.tolist(), self.y[:, 0].tolist()
         self.pixels = np.zeros((rows, cols, 4))
         stack = [(root, {"fill": "black", "stroke": None, "stroke-width": "1"}, 1.0)]
         while stack:
@@ -168,9 +170,17 @@ class NumpyRenderer:
 
     def _window(self, points: np.ndarray, margin: float = 0.0) -> tuple[slice, slice]:
         """Rows and columns of pixels that a shape can reach: all work on it stays inside."""
-        (x0, y0), (x1, y1) = points.min(axis=0) - margin, points.max(axis=0) + margin
-        rows = slice(*np.searchsorted(self.y[:, 0], (y0, np.nextafter(y1, np.inf))))
-        return rows, slice(*np.searchsorted(self.x, (x0, np.nextafter(x1, np.inf))))
+        xs, ys = points.T.tolist()
+        rows = slice(bisect_left(self.ys, min(ys) - margin), bisect_right(self.ys, max(ys) + margin))
+        return rows, slice(bisect_left(self.xs, min(xs) - margin), bisect_right(self.xs, max(xs) + margin))
+
+    def _fill_box(self, x0: float, y0: float, x1: float, y1: float, value: tuple[int, int, int], opacity: float) -> None:
+        """A rectangle along the axes, as ``_inside`` would tell it: its window is its mask."""
+        window = slice(bisect_right(self.ys, y0), bisect_right(self.ys, y1)), slice(bisect_left(self.xs, x0), bisect_left(self.xs, x1))
+        if opacity == 1:
+            self.pixels[window] = (*value, 255)
+        else:
+            self._paint(window, np.ones(self.pixels[window].shape[:2], bool), value, opacity)
 
     def _paint(self, window: tuple[slice, slice], mask: np.ndarray, value: tuple[int, int, int], opacity: float) -> None:
         pixels = self.pixels[window]
@@ -185,7 +195,8 @@ class NumpyRenderer:
     def _inside(self, points: np.ndarray, window: tuple[slice, slice]) -> np.ndarray:
         y, x = self.y[window[0]], self.x[None, window[1]]
         odd = np.zeros((y.shape[0], x.shape[1]), bool)
-        for (ax, ay), (bx, by) in zip(points.tolist(), np.roll(points, -1, axis=0).tolist()):
+        corners = points.tolist()
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
             if ay != by:
                 crosses = (y > min(ay, by)) & (y <= max(ay, by))
                 odd ^= crosses & (x < ax + (y - ay) * (bx - ax) / (by - ay))
@@ -194,8 +205,8 @@ class NumpyRenderer:
     def _near(self, points: np.ndarray, closed: bool, half: float, window: tuple[slice, slice]) -> np.ndarray:
         y, x = self.y[window[0]], self.x[None, window[1]]
         near = np.zeros((y.shape[0], x.shape[1]), bool)
-        ends = np.roll(points, -1, axis=0) if closed else points[1:]
-        for (ax, ay), (bx, by) in zip(points.tolist(), ends.tolist()):
+        corners = points.tolist()
+        for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1] * closed):
             dx, dy = bx - ax, by - ay
             t = np.clip(((x - ax) * dx + (y - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
             near |= (x - ax - t * dx) ** 2 + (y - ay - t * dy) ** 2 <= half * half
@@ -214,9 +225,7 @@ class NumpyRenderer:
             for word in re.findall(r"\S+|\s+", text or ""):
                 wide = len(word) * size * _CHARACTER if word.strip() else size * _CHARACTER
                 if word.strip() and fill is not None and size > 0:
-                    box = np.array([(at[0], at[1] - size * _HEIGHT), (at[0] + wide, at[1] - size * _HEIGHT), (at[0] + wide, at[1]), (at[0], at[1])])
-                    window = self._window(box)
-                    self._paint(window, self._inside(box, window), fill, opacity)
+                    self._fill_box(at[0], at[1] - size * _HEIGHT, at[0] + wide, at[1], fill, opacity)
                 at[0] += wide
 
     def _shape(self, tag: str, e, style: dict, opacity: float) -> None:
@@ -236,7 +245,10 @@ class NumpyRenderer:
             v = [float(x) for x in _NUMBER.findall(e.get("points", ""))]
             outlines = [(np.array(v[: len(v) // 2 * 2]).reshape(-1, 2), tag == "polygon")] if len(v) >= 4 else []
         fill, stroke = colour(style["fill"]), colour(style["stroke"])
-        if fill is not None and tag != "line" and outlines:
+        if fill is not None and tag == "rect" and outlines:
+            (x0, y0), (x1, y1) = outlines[0][0][[0, 2]].tolist()
+            self._fill_box(x0, y0, x1, y1, fill, opacity)
+        elif fill is not None and tag != "line" and outlines:
             window = self._window(np.concatenate([points for points, _ in outlines]))
             inside = self._inside(outlines[0][0], window)
             for points, _ in outlines[1:]:

@@ -141,6 +141,18 @@ def test_windows_give_what_whole_pictures_give(monkeypatch):
     assert (raster.NumpyRenderer().render(svg) == small).all()
 
 
+def test_rectangles_are_the_polygons_of_their_corners():
+    rng = random.Random(3)
+    for _ in range(60):
+        x, y, w, h = (rng.choice([rng.uniform(-9, 30), rng.randint(-5, 30) + 0.5, rng.randint(0, 30)]) for _ in range(4))
+        w, h = abs(w), abs(h)
+        for style in ('fill="red"', 'fill="blue" opacity="0.4"', 'fill="none" stroke="red"'):
+            a = f'<svg width="24" height="20"><rect x="{x}" y="{y}" width="{w}" height="{h}" {style}/></svg>'
+            b = f'<svg width="24" height="20"><polygon points="{x},{y} {x + w},{y} {x + w},{y + h} {x},{y + h}" {style}/></svg>'
+            if w > 0 and h > 0:
+                assert (raster.NumpyRenderer().render(a) == raster.NumpyRenderer().render(b)).all(), a
+
+
 def test_resampling():
     flat = np.full((5, 7, 4), 200, np.uint8)
     assert (raster.resized(flat, 11, 3)[..., 3] == 200).all() and abs(raster.resized(flat, 11, 3).astype(int) - 200).max() <= 1
