@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from svgloom.session import ship
 
 #: Fixed value: bytes of text that one numpy step handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 19
 
 #: Fixed value: the white space that separates words, as the contracts spell it: 0x20 and 0x09-0x0D.
 _SPACE = np.zeros(256, bool)
