@@ -25,6 +25,8 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -138,26 +140,40 @@ class DuckBpe:
     """Encoder and decoder over one in-process DuckDB database."""
 
     def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED_BYTES) -> None:
-        import duckdb
         import regex
 
-        ranks = read_ranks(path)
+        self.path = path
         self.split = regex.compile(pattern).findall
         self.cuts_hold = pattern == _PATTERN
-        self.con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "200MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}"), "preserve_insertion_order": "false"})
+        ranks = read_ranks(path)
+        self.bytes_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.memory = SpanMemory(np.int32, remembered)
+        self.decimals = Decimals(max(ranks.values()) + 1)
+
+    @cached_property
+    def con(self):
+        """The database with merges and vocabulary, opened when it is first needed."""
+        import duckdb
+
+        con = duckdb.connect(":memory:", config={"threads": "1", "memory_limit": "200MB", "temp_directory": os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}"), "preserve_insertion_order": "false"})
+        ranks = read_ranks(self.path)
         found = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         pairs = np.array(found, np.int64).reshape(-1, 3)
-        self._register("p", pa.table({"pair": (pairs[:, 0] << 32) | pairs[:, 1], "a": pairs[:, 0], "b": pairs[:, 1], "made": pairs[:, 2].astype(np.int32)}))
-        self.con.execute("CREATE TABLE merges AS SELECT pair, made FROM p")
-        self.con.execute("CREATE TABLE unsafe AS SELECT a AS tok FROM p WHERE made < a UNION SELECT b FROM p WHERE made < b")
+        con.register("p", pa.table({"pair": (pairs[:, 0] << 32) | pairs[:, 1], "a": pairs[:, 0], "b": pairs[:, 1], "made": pairs[:, 2].astype(np.int32)}))
+        con.execute("CREATE TABLE merges AS SELECT pair, made FROM p")
+        con.execute("CREATE TABLE unsafe AS SELECT a AS tok FROM p WHERE made < a UNION SELECT b FROM p WHERE made < b")
         # a byte stands as the character of its number, so that texts can be aggregated as strings
-        self._register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
-        self.con.execute("CREATE TABLE vocab AS SELECT * FROM v")
+        con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "raw": [t.decode("latin-1") for t in ranks]}))
+        con.execute("CREATE TABLE vocab AS SELECT * FROM v")
         for name in ("p", "v"):
-            self.con.unregister(name)
-        self.bytes_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.memory = SpanMemory(np.int32, remembered)
-        self.decimals = Decimals(max(ranks.values()) + 1)
+            con.unregister(name)
+        return con
+
+    def close(self) -> None:
+        """Close the database; the next use opens it again. What is remembered stays."""
+        if "con" in self.__dict__:
+            self.con.close()
+            del self.con
 
     def _register(self, name: str, t: pa.Table) -> None:
         self.con.register(name, t)
@@ -265,11 +281,15 @@ class Decimals:
 _CODERS: dict[tuple, DuckBpe] = {}
 
 
-def coder(*settings) -> DuckBpe:
-    """This worker's coder: kept between tasks."""
+@contextmanager
+def coder(*settings) -> Iterator[DuckBpe]:
+    """This worker's coder. Pieces are remembered between tasks; the database is closed with the task, as it would keep an idle worker's memory from other stages."""
     if settings not in _CODERS:
         _CODERS[settings] = DuckBpe(*settings)
-    return _CODERS[settings]
+    try:
+        yield _CODERS[settings]
+    finally:
+        _CODERS[settings].close()
 
 
 def _settings(vocabulary: str | None, pattern: str | None) -> tuple[str, str]:
@@ -289,10 +309,10 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
-        for batch in batches:
-            for a, b, data, offs in pieces(batch):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(*bpe.encode(data, offs))], names=["doc_id", "ids"])
+        with coder(path, pattern) as bpe:
+            for batch in batches:
+                for a, b, data, offs in pieces(batch):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _lists(*bpe.encode(data, offs))], names=["doc_id", "ids"])
 
     return narrow(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -302,12 +322,12 @@ def decode(coded: DataFrame, vocabulary: str | None = None, pattern: str | None
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
-        for batch in batches:
-            lists = [x or [] for x in batch.column(1).to_pylist()]
-            ids = np.fromiter(chain.from_iterable(lists), np.int32)
-            raw = bpe.decode(np.fromiter(map(len, lists), np.int64, len(lists)), ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "text"])
+        with coder(path, pattern) as bpe:
+            for batch in batches:
+                lists = [x or [] for x in batch.column(1).to_pylist()]
+                ids = np.fromiter(chain.from_iterable(lists), np.int32)
+                raw = bpe.decode(np.fromiter(map(len, lists), np.int64, len(lists)), ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "text"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text binary")
 
@@ -317,19 +337,19 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
     path, pattern = _settings(vocabulary, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(path, pattern)
-        for batch in batches:
-            for a, b, data, offs in pieces(batch, most=STEP_BYTES):
-                size, ids = bpe.encode(data, offs)
-                columns = {
-                    "doc_id": batch.column(0).slice(a, b - a),
-                    "n_tokens": pa.array(size, pa.int64()),
-                    "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decimals(size, ids)], pa.string()),
-                    "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(size, ids)], pa.string()),
-                }
-                if with_ids:
-                    columns["ids"] = _lists(size, ids)
-                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        with coder(path, pattern) as bpe:
+            for batch in batches:
+                for a, b, data, offs in pieces(batch, most=STEP_BYTES):
+                    size, ids = bpe.encode(data, offs)
+                    columns = {
+                        "doc_id": batch.column(0).slice(a, b - a),
+                        "n_tokens": pa.array(size, pa.int64()),
+                        "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decimals(size, ids)], pa.string()),
+                        "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in bpe.decode(size, ids)], pa.string()),
+                    }
+                    if with_ids:
+                        columns["ids"] = _lists(size, ids)
+                    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return narrow(docs).mapInArrow(run, schema)

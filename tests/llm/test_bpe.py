@@ -45,6 +45,7 @@ def test_random_texts_as_the_library(library):
             for text, i, j in zip(texts[a : a + 1000], ends - size, ends):
                 assert ids[i:j].tolist() == library.encode_ordinary(text), text
             assert b"".join(coder.decode(size, ids)) == b"".join(raw[a : a + 1000])
+            coder.close()  # as at the end of a task; the next use opens the database again
 
 
 def test_tables(spark, library):
