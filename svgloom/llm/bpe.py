@@ -40,9 +40,9 @@ LONG_WORD = 64
 #: Bytes that a worker remembers of pieces of text and their ids.
 REMEMBERED_BYTES = 64 << 20
 #: Bytes of text that are encoded together.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 19
 #: Words that one recursive query takes.
-WORDS_A_QUERY = 50_000
+WORDS_A_QUERY = 10_000
 #: Ids that one group of the ordered aggregation holds.
 DECODED_IDS = 1 << 15
 
