@@ -38,7 +38,7 @@ from .common import SpanMemory, among, byte_randoms, distinct_spans, narrow, pie
 #: Bytes above which a word is contracted in the loop.
 LONG_WORD = 64
 #: Bytes that a worker remembers of pieces of text and their ids.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 32 << 20
 #: Bytes of text that are encoded together.
 STEP_BYTES = 1 << 19
 #: Words that one recursive query takes.
