@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 
@@ -14,7 +15,7 @@ from svgloom.operators import batches, captions, evaluation, predictions, repair
 from svgloom.plans import carriers
 from svgloom.plans.carriers import DRAWINGS_SQL, MODELS, SCORES_SQL, table
 from svgloom.plans.catalog import query
-from svgloom.session import materialize, new_folder
+from svgloom.session import materialize, new_folder, spread
 from svgloom.sources import sinks, tables
 from svgloom.streaming import incremental
 
@@ -307,6 +308,14 @@ def certain_faults(spark, sf_dir):
 _TRIED = ("missing_objects", "wrong_z_order", "primitive_degradation", "text_corruption", "style_corruption", "geometry_perturbation", "group_flattening", "truncation")
 
 
+@functools.lru_cache(10_000)
+def _left(svg: str, got: str) -> tuple:
+    """Of a corrupted drawing whether it differs and parses, its shapes and groups; few outcomes come up again and again."""
+    valid = markup.is_svg(got)
+    tags = [markup.local_name(e) for e in markup.TREES.shown(got).iter()] if valid else []
+    return got != svg, valid, sum(t in corrupt.SHAPES for t in tags) if valid else -1, tags.count("g") if valid else -1
+
+
 @query("SELECT p_partkey, fault, true AS changed, fault <> 'truncation' AS parses, CASE fault WHEN 'missing_objects' THEN 4 WHEN 'group_flattening' THEN 5 WHEN 'truncation' THEN -1 ELSE 5 END AS shapes, CASE WHEN fault = 'group_flattening' THEN 0 WHEN fault = 'truncation' THEN -1 ELSE 1 END AS groups "
     f"FROM part, (SELECT unnest({list(_TRIED)}) AS fault) ORDER BY ALL")
 def fault_effects(spark, sf_dir):
@@ -315,16 +324,10 @@ def fault_effects(spark, sf_dir):
 
     @F.pandas_udf("changed boolean, parses boolean, shapes int, groups int")
     def run(fault, seed):
-        out = []
-        for f, k in zip(fault, seed):
-            got = _changed(f, svg, int(k))
-            valid = markup.is_svg(got)
-            tags = [markup.local_name(e) for e in markup.parse(got).iter()] if valid else []
-            out.append((got != svg, valid, sum(t in corrupt.SHAPES for t in tags) if valid else -1, tags.count("g") if valid else -1))
-        return pd.DataFrame(out, columns=["changed", "parses", "shapes", "groups"])
+        return pd.DataFrame([_left(svg, _changed(f, svg, int(k))) for f, k in zip(fault, seed)], columns=["changed", "parses", "shapes", "groups"])
 
     rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*[F.lit(t) for t in _TRIED])).alias("fault"))
-    return rows.select("p_partkey", "fault", run("fault", "p_partkey").alias("x")).select("p_partkey", "fault", "x.*")
+    return spread(rows, "p_partkey").select("p_partkey", "fault", run("fault", "p_partkey").alias("x")).select("p_partkey", "fault", "x.*")
 
 
 _SIZE = 1000
