@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from svgloom import config, schemas
 from svgloom.errors import CorruptionError, RowError
 from svgloom.functions import corrupt, raster
-from svgloom.session import materialize, new_folder, ship
-from svgloom.sources import sinks, tables
+from svgloom.session import materialize, new_folder, ship, spread
+from svgloom.sources import tables
 
 
 class Acceptance:
@@ -95,7 +95,7 @@ def repair_rows(
                             out.append((r["filename"], r["svg"], other, "+".join(done), len(done), used, level, mse, share, r["text"], r["caption_style"], r["dataset"], *[r[c] for c in carried]))
             yield pd.DataFrame(out, columns=schema.names)
 
-    return filled.na.fill("", ["filename", "svg", "text", "caption_style", "dataset"]).mapInPandas(run, schema)
+    return spread(filled.na.fill("", ["filename", "svg", "text", "caption_style", "dataset"]), "row_index").mapInPandas(run, schema)
 
 
 def truncated_rows(repair: DataFrame, key: str, rows_a_chunk: int, fraction: float = config.TRUNCATED_FRACTION, seed: int = config.SEED) -> DataFrame:
@@ -120,7 +120,7 @@ def truncated_rows(repair: DataFrame, key: str, rows_a_chunk: int, fraction: flo
         return b[schemas.REPAIR.names]
 
     keyed = repair.select(*schemas.REPAIR.names, F.col(key).cast("long").alias("__key"), F.floor(F.col(key) / rows_a_chunk).cast("long").alias("__chunk"))
-    return keyed.groupBy("corruption_level", "__chunk").applyInPandas(run, schemas.REPAIR)
+    return spread(keyed, "corruption_level", "__chunk").groupBy("corruption_level", "__chunk").applyInPandas(run, schemas.REPAIR)
 
 
 def _chunks_there(spark, folder: str) -> set[int]:
@@ -153,7 +153,9 @@ def build_checkpoints(
         lacking = [n for n in starts if n not in done[folder]]
         for a in range(0, len(lacking), chunks_a_job):
             some = lacking[a : a + chunks_a_job]
-            part = materialize(repair_rows(numbered.where(F.col("__chunk").isin(some)), (level,), seed=seed, keep=("__chunk", "row_index"), **options), "repair-chunks")
+            # the range reaches the scan, which skips what is stored elsewhere in the order of row_index
+            near = numbered.where(F.col("row_index").between(some[0], some[-1] + rows_a_chunk - 1) & F.col("__chunk").isin(some))
+            part = materialize(repair_rows(near, (level,), seed=seed, keep=("__chunk", "row_index"), **options), "repair-chunks")
             made += len(some)
             _save_chunks(part, some, folder)
             if fraction > 0:
@@ -179,14 +181,8 @@ def _save_chunks(part: DataFrame, starts: list[int], folder: str) -> None:
     spark = part.sparkSession
     names = F.format_string("%08d", F.col("__chunk"))
     staged = new_folder(spark, "staged-chunks")
-    part.select(*schemas.REPAIR.names, names.alias("chunk")).repartition("chunk").write.partitionBy("chunk").parquet(staged)
-    for n in starts:
-        target = f"{folder}/chunk_{n:08d}"
-        tables.drop(spark, target)  # what a run that was cut off left
-        source = f"{staged}/chunk={n:08d}"
-        if tables.exists(spark, source):
-            tables.move(spark, source, target)
-        sinks.write_text(spark, f"{target}/COMMITTED", "whole\n")  # Spark lists no empty files
+    spread(part.select(*schemas.REPAIR.names, names.alias("chunk")), "chunk").write.partitionBy("chunk").parquet(staged)
+    tables.publish(spark, {f"{staged}/chunk={n:08d}": f"{folder}/chunk_{n:08d}" for n in starts}, "COMMITTED", "whole\n")  # Spark lists no empty files
 
 
 def read_checkpoints(spark, root: str, levels: tuple[str, ...] = config.LEVELS) -> DataFrame:

@@ -341,7 +341,7 @@ def repair_checkpoints(spark, sf_dir):
     root = new_folder(spark, "repair")
     d = carriers.drawings(spark, sf_dir, close=True).select(F.col("o_orderkey").alias("row_index"), F.concat(F.lit("o"), "o_orderkey").alias("filename"), "svg", "dataset")
     options = {"rows_a_chunk": _SIZE, "types": ["missing_objects"], "least_mse": 0, "least_share": 0, "chunks_a_job": 1000}
-    rows = materialize(d, "drawings")
+    rows = materialize(d.orderBy("row_index"), "drawings")  # a job over some chunks reads these only
     repair.build_checkpoints(rows.where("row_index < 5000"), root, levels=("medium",), fraction=0, **options)
     repair.build_checkpoints(rows, root, resume=True, **options)
     got = repair.read_checkpoints(spark, root).withColumn("chunk", F.regexp_extract("path", r"chunk_(\d+)", 1).try_cast("long"))

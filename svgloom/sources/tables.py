@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +28,34 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
-def move(spark: SparkSession, source: str, target: str) -> None:
-    """Rename a folder into a parent that is made if need be."""
-    (a, fs), (b, _) = _place(spark, source), _place(spark, target)
-    fs.mkdirs(b.getParent())
-    if not fs.rename(a, b):
-        raise OSError(f"cannot move {source} to {target}")
+def publish(spark: SparkSession, places: dict[str, str], mark: str, text: str) -> None:
+    """Rename each source folder to its target, in place of what is there, and leave a file ``mark`` in it, also where there is no source.
+
+    A target has its mark last, so a run that is cut off leaves no marked target that lacks rows. The folders are on one store; many
+    are renamed at a time, since each call waits for the store.
+    """
+    if not places:
+        return
+    path, body = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, text.encode("utf-8")
+    targets = list(places.values())
+    fs = path(targets[0]).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for parent in {t.rpartition("/")[0] for t in targets}:
+        fs.mkdirs(path(parent))
+
+    def one(place: tuple[str, str]) -> None:
+        source, target = (path(p) for p in place)
+        fs.delete(target, True)  # what a run that was cut off left
+        if fs.exists(source) and not fs.rename(source, target):
+            raise OSError(f"cannot move {place[0]} to {place[1]}")
+        stream = fs.create(path(f"{place[1]}/{mark}"), True)
+        try:
+            stream.write(body)
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        for _ in pool.map(one, places.items()):
+            pass
 
 
 def first_existing(spark: SparkSession, *paths: str) -> str:
