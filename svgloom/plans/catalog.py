@@ -370,14 +370,19 @@ def pad_batch(spark, sf_dir):
 # --- corruption -------------------------------------------------------------------------------------
 
 
-@query()
-def corruption_engine(spark, sf_dir):
+def _repaired(spark, sf_dir, levels=config.LEVELS):
     d = carriers.drawings(spark, sf_dir, close=True)
     rows = d.select(F.col("o_orderkey").alias("row_index"), F.format_string("%d.svg", F.col("o_orderkey")).alias("filename"), "svg", "dataset")
-    return repair.repair_rows(rows)
+    return repair.repair_rows(rows, levels)
+
+
+@query()
+def corruption_engine(spark, sf_dir):
+    return _repaired(spark, sf_dir)
 
 
 @query()
 def truncated_engine(spark, sf_dir):
-    rows = corruption_engine(spark, sf_dir).where("corruption_level = 'hard'")
+    """Of the hard level only, so no other level is made: seeds do not depend on it."""
+    rows = _repaired(spark, sf_dir, ("hard",))
     return repair.truncated_rows(rows.withColumn("key", F.regexp_extract("filename", r"\d+", 0).cast("long")), "key", 1000)
