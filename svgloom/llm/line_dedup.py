@@ -11,9 +11,10 @@ that occurs once is discarded: nothing that starts there repeats that far. So ar
 lines that occur once, before the first round. Equal ranks at depth ``d`` are an interval of
 the suffix array whose common prefixes are ``d`` lines or longer; a depth that is no
 power of two is the overlap of two such intervals. For each line the depth in question
-is the least number of lines with ``MIN_CHARACTERS`` characters, so rounds end there: deeper
-ranks cannot change what is deleted. Overlapping later copies together are the maximal
-repeated runs, which is what the intervals of the whole array's common prefixes give.
+is the least number of lines with ``MIN_CHARACTERS`` characters, so rounds end there: the
+array is not completed, and its common prefixes are not computed. Deleted are the overlapping
+later copies of such least runs, as in the SQL. These are the maximal repeated runs but for
+lines at an end of theirs with which no least run ends (a short line after a long one stays).
 
 Nothing is sampled or capped, and no key holds a group in one task: counts and first
 positions are partial aggregates joined back, which adaptive execution splits where
